@@ -17,5 +17,15 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {"op3_near_duplicates": op3_near_duplicates}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt from labelled ones of other folds."""
+    from quarrystone.llm.toxicity import ToxicityModel
+
+    docs = read(spark, sf_dir, "documents")
+    scored = ToxicityModel.fit(docs, read(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op3_near_duplicates": op3_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
