@@ -10,6 +10,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, and where."""
+    from quarrystone.llm.decontamination import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 4-word shingles have a similarity of 0.8 or more."""
     from quarrystone.llm.near_duplicates import near_duplicates
@@ -27,5 +34,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op3_near_duplicates": op3_near_duplicates}
+QUERIES = {"op2_decontamination": op2_decontamination, "op10_toxicity": op10_toxicity, "op3_near_duplicates": op3_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
