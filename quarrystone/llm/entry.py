@@ -24,6 +24,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of at most 1024 tokens."""
+    from quarrystone.llm.packing import pack_documents
+
+    packed = pack_documents(read(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from labelled ones of other folds."""
     from quarrystone.llm.toxicity import ToxicityModel
@@ -34,5 +42,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op10_toxicity": op10_toxicity, "op3_near_duplicates": op3_near_duplicates}
+QUERIES = {"op7_packing": op7_packing, "op2_decontamination": op2_decontamination, "op10_toxicity": op10_toxicity, "op3_near_duplicates": op3_near_duplicates}
 ORACLE_SQL: dict[str, str] = {}
