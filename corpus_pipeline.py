@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from quarrystone.llm.decontamination import contaminated
 from quarrystone.llm.near_duplicates import near_duplicates
 from quarrystone.llm.packing import pack_documents
-from quarrystone.llm.toxicity import ToxicityModel, labelled
+from quarrystone.llm.toxicity import ToxicityModel
 from quarrystone.llm.work import Work
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model trained on the labelled rows of the corpus calls toxic go."""
-    model = ToxicityModel.fit(labelled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = ToxicityModel.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.keep(docs)
 
 
