@@ -52,6 +52,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written into web archives, read back, and assembled."""
+    from quarrystone.llm.warc import archive_and_assemble
+
+    out = archive_and_assemble(read(spark, sf_dir, "pages"))
+    page = lambda urn: F.regexp_extract(urn, r":(-?[0-9]+)>$", 1).cast("long")
+    return out.select(page(F.col("record_id")).alias("page_id"), "response.payload_bytes", "response.payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page(F.col("refers_to"))).alias("refers_to"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of at most 1024 tokens."""
     from quarrystone.llm.packing import pack_documents
@@ -75,6 +84,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_chat_formatting": op4_chat_formatting,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op10_toxicity": op10_toxicity,
 }
@@ -94,4 +104,14 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(text) + escapes + CASE WHEN before IS NULL OR before <> role THEN 33 + length(role) ELSE 11 END)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+        d AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS holder FROM p),
+        b AS (SELECT page_id, list_transform(range(8), lambda i: ('0x' || substr(sha, 1 + 5 * i, 5))::BIGINT) AS parts FROM d)
+        SELECT d.page_id, payload_bytes,
+               array_to_string(list_transform(flatten(list_transform(parts, lambda v: [v // 32768, v // 1024 % 32, v // 32 % 32, v % 32])),
+                                              lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c::INT + 1, 1)), '') AS payload_digest,
+               CASE WHEN holder = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN holder <> d.page_id THEN holder END AS refers_to
+        FROM d JOIN b USING (page_id)""",
 }
