@@ -69,6 +69,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of each vector whose id is divisible by 100."""
+    from quarrystone.llm.topk import exact_top_k
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from labelled ones of other folds."""
     from quarrystone.llm.toxicity import ToxicityModel
@@ -86,9 +94,19 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
+    "op8_exact_topk": op8_exact_topk,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op8_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op4_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
