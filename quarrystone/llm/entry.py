@@ -77,6 +77,20 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    from quarrystone.llm.urls import domain_rule, judge_urls
+
+    rules = [
+        domain_rule("com", "/en/", "block"),
+        domain_rule("example.com", "/en/7", "allow"),
+        domain_rule("net", "/de/", "allow"),
+        domain_rule("example.net", "/de/8", "block"),
+        domain_rule("org", "/es/", "block"),
+    ]
+    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from labelled ones of other folds."""
     from quarrystone.llm.toxicity import ToxicityModel
@@ -95,9 +109,26 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_exact_topk": op8_exact_topk,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op9_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), r(h, pre, action) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), f AS (
+            SELECT page_id, max_by(h || pre, length(h || pre)) AS rule, max_by(action, length(h || pre)) AS action
+            FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id
+        )
+        SELECT p.page_id, host, path, rule,
+               coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|poker|porn|spam|viagra|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN f USING (page_id)""",
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
