@@ -52,6 +52,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents, by paragraph."""
+    from quarrystone.llm.licences import LicenceModel
+
+    docs = read(spark, sf_dir, "documents")
+    return LicenceModel.fit(docs).scan(docs).where("confirmed")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written into web archives, read back, and assembled."""
     from quarrystone.llm.warc import archive_and_assemble
@@ -106,6 +114,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_licences": op5_licences,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_exact_topk": op8_exact_topk,
