@@ -1 +1,20 @@
+"""Column functions shared by the queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def money(name: str) -> Column:
+    """Money is stored as DOUBLE; a decimal sum does not depend on the order of its terms."""
+    return F.col(name).cast("decimal(18,2)")
+
+
+def total(name: str) -> Column:
+    return F.sum(money(name)).cast("decimal(28,2)")
+
+
+def dot(a: str, b: str) -> Column:
+    """The inner product of two arrays of numbers, in their order."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -1 +1 @@
-
+"""Operators that Spark has no single function for, composed of DataFrame operations."""

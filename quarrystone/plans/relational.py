@@ -1,39 +1,233 @@
-"""Relational queries over the star schema and the SQL that each must equal."""
+"""Queries over the star schema and the events, and the SQL that each must equal."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quarrystone import streaming
+from quarrystone.functions import dot, money, total
+from quarrystone.operators.asof import asof_join
+from quarrystone.operators.sessions import sessionize
+from quarrystone.operators.topk import top_per_group
 from quarrystone.sources import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, table reader) by its name, with the SQL of its result."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: table(spark, sf_dir, name))
+        QUERIES[f.__name__].__doc__ = f.__doc__
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("""SELECT l_returnflag, l_linestatus,
+          CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_qty,
+          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_price, count(*) AS n_rows
+          FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark, t):
+    """Scan, filter, projection, hash aggregation."""
+    rows = t("lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(total("l_quantity").alias("sum_qty"), total("l_extendedprice").alias("sum_price"), F.count("*").alias("n_rows"))
+
+
+@query("""SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 50000""")
+def filter_project(spark, t):
+    """Filters pushed into the scan, two columns read."""
+    return t("orders").where("o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 50000").select("o_orderkey", (F.col("o_totalprice") * 2).alias("twice"))
+
+
+@query("""SELECT r_name, n_name, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+          GROUP BY 1, 2""")
+def star_join(spark, t):
+    """Inner joins of a fact with its dimensions."""
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("n_orders"), total("o_totalprice").alias("revenue"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1""")
+def left_join_counts(spark, t):
+    """Left join; the right side is aggregated before it is joined."""
+    per = t("orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("c"))
+    return t("customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("c", F.lit(0)).alias("n_orders"))
+
+
+@query("""SELECT coalesce(a.k, b.k) AS nation, a.n AS customers, b.n AS suppliers
+          FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a
+          FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal < 3000 GROUP BY 1) b ON a.k = b.k""")
+def full_join(spark, t):
+    """Full outer join."""
+    a = t("customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    b = t("supplier").where("s_acctbal < 3000").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return a.join(b, "nation", "full")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def semi_join(spark, t):
+    return t("orders").join(t("lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def anti_join(spark, t):
+    return t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g_flag, grouping(l_linestatus) AS g_status, count(*) AS n
+          FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube(spark, t):
+    c = t("lineitem").cube("l_returnflag", "l_linestatus")
+    return c.agg(F.grouping("l_returnflag").cast("bigint").alias("g_flag"), F.grouping("l_linestatus").cast("bigint").alias("g_status"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def rollup(spark, t):
+    return t("orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())""")
+def grouping_sets(spark, t):
+    c = t("customer")
+    return c.groupingSets([[c.c_mktsegment], [c.c_nationkey], []], c.c_mktsegment, c.c_nationkey).agg(F.count("*").alias("n")).select("c_mktsegment", "c_nationkey", "n")
+
+
+@query("""SELECT l_shipyear, median_qty, p90_price FROM (SELECT year(l_shipdate) AS l_shipyear, quantile_cont(l_quantity, 0.5) AS median_qty,
+          round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_price FROM lineitem GROUP BY 1)""")
+def percentiles(spark, t):
+    return t("lineitem").groupBy(F.year("l_shipdate").cast("bigint").alias("l_shipyear")).agg(F.percentile("l_quantity", 0.5).alias("median_qty"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90_price"))
+
+
+@query("""SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS sd, round(var_pop(p_size), 4) AS vp, count(DISTINCT p_type) AS types, max(p_name) AS top
+          FROM part GROUP BY 1""")
+def spread(spark, t):
+    """Variance, deviation, distinct counts, extremes."""
+    return t("part").groupBy("p_brand").agg(F.round(F.stddev_samp("p_retailprice"), 4).alias("sd"), F.round(F.var_pop("p_size"), 4).alias("vp"), F.countDistinct("p_type").alias("types"), F.max("p_name").alias("top"))
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS drnk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn,
+          lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before
+          FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority)""")
+def ranking(spark, t):
+    w, o = Window.partitionBy("o_custkey").orderBy("o_orderpriority"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t("orders").select("o_orderkey", F.rank().over(w).alias("rnk"), F.dense_rank().over(w).alias("drnk"), F.row_number().over(o).alias("rn"), F.lag("o_orderkey").over(o).alias("before"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events""")
+def range_frame(spark, t):
+    """A window frame over an interval of time."""
+    t("events").createOrReplaceTempView("quarrystone_events")
+    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS in_day FROM quarrystone_events")
+
+
+@query("""SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3""")
+def top_per_nation(spark, t):
+    return top_per_group(t("customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3).select("c_nationkey", "c_custkey", "rank")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
+def global_top(spark, t):
+    """A limited sort: each task keeps 20 rows."""
+    return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("""(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)""")
+def set_operations(spark, t):
+    c, s, n = t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k")), t("nation").select(F.col("n_nationkey").alias("k"))
+    return c.intersect(s).unionAll(n.subtract(s))
+
+
+@query("""SELECT o_custkey, o_orderstatus FROM orders INTERSECT ALL SELECT o_custkey, 'F' FROM orders""")
+def intersect_all(spark, t):
+    return t("orders").select("o_custkey", "o_orderstatus").intersectAll(t("orders").select("o_custkey", F.lit("F")))
+
+
+@query("""SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders i WHERE i.o_custkey = o.o_custkey)""")
+def above_average(spark, t):
+    """A correlated scalar subquery as a join with its aggregate."""
+    mean = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.avg(money("o_totalprice")).cast("double").alias("mean"))
+    return t("orders").join(mean, F.col("o_custkey") == F.col("k")).where("o_totalprice > mean").select("o_orderkey")
+
+
+@query("""WITH RECURSIVE r(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r""")
+def recursive_query(spark, t):
+    return spark.sql("WITH RECURSIVE r(n, f) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
+
+
+@query("""SELECT p.event_id, v.event_id AS event_id_asof FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+          ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def last_view_before_purchase(spark, t):
+    """As-of join."""
+    e = t("events")
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'"), ["user_id"], "ts", ["event_id"]).select("event_id", "event_id_asof")
+
+
+@query("""SELECT vec_id, i::INT AS pos, embedding[i + 1] AS x FROM embeddings, range(0, 64) r(i) WHERE i < len(embedding)""")
+def explode_vectors(spark, t):
+    return t("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+
+
+@query("""SELECT k, count(*) AS n, max(user_id) AS top FROM (SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, user_id FROM events) GROUP BY 1""")
+def json_field(spark, t):
+    return t("events").select(F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id").groupBy("k").agg(F.count("*").alias("n"), F.max("user_id").alias("top"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def hourly_events(spark, t):
+    """Tumbling windows over a table."""
+    return t("events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+          SELECT event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)::BIGINT AS session FROM g""")
+def user_sessions(spark, t):
+    return sessionize(t("events"), ["user_id"], "ts", "12 HOURS").select("event_id", "session")
+
+
+@query("""SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, date_trunc('month', o_orderdate)::TIMESTAMP AS m, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
+def order_calendar(spark, t):
+    return t("orders").groupBy(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("m")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY 1""")
+def status_pivot(spark, t):
+    return t("orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("""SELECT p_partkey, upper(p_brand) AS brand, length(p_name) AS n, replace(p_type, ' ', '_') AS kind, substr(p_name, 1, 4) AS head FROM part""")
+def strings(spark, t):
+    return t("part").select("p_partkey", F.upper("p_brand").alias("brand"), F.length("p_name").cast("bigint").alias("n"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("kind"), F.substring("p_name", 1, 4).alias("head"))
+
+
+@query("""SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem""")
+def distinct_pairs(spark, t):
+    return t("lineitem").select("l_suppkey", "l_returnflag").distinct()
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+          SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 10""")
+def nearest_to_one(spark, t):
+    """Similarity to one vector: one row is sent to all tasks."""
+    one = t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    scored = t("embeddings").join(F.broadcast(one)).withColumn("s", dot("embedding", "q"))
+    return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 5).alias("score"))
+
+
+def streamed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over a stream."""
+    out = streaming.drain(streaming.tumbling_counts(streaming.event_stream(spark, sf_dir)))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
 
-def money(name: str):
-    """Money is stored as DOUBLE; a decimal sum does not depend on the order of its terms."""
-    return F.col(name).cast("decimal(18,2)")
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan, filter, projection and hash aggregation on lineitem."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.sum(money("l_quantity")).cast("decimal(28,2)").alias("sum_qty"),
-            F.sum(money("l_extendedprice")).cast("decimal(28,2)").alias("sum_price"),
-            F.count("*").alias("n_rows"),
-        )
-    )
-
-
-QUERIES = {"pricing_summary": pricing_summary}
-ORACLE_SQL = {
-    "pricing_summary": """
-        SELECT l_returnflag, l_linestatus,
-               CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_qty,
-               CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_price,
-               count(*) AS n_rows
-        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
-        GROUP BY 1, 2""",
-}
+QUERIES["streamed_hourly_events"] = streamed_hourly_events
+ORACLE_SQL["streamed_hourly_events"] = ORACLE_SQL["hourly_events"]

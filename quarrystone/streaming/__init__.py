@@ -1 +1,31 @@
+"""Structured Streaming over the events table."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream; its timestamps carry no zone and are read as UTC, so that they can carry a watermark."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.withColumn("ts", F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+
+
+def tumbling_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Events by window and type; a window's state goes once the watermark has passed it."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that the stream yields from what is there now, as a table in memory (results of bounded size only)."""
+    spark = df.sparkSession
+    name = f"stream_{uuid.uuid4().hex}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrystone-stream-")
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
