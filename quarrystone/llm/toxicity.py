@@ -77,7 +77,7 @@ class ToxicityModel:
     weights: np.ndarray
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 20_000, epochs: int = 8, seed: int = 7, holdout: int = 5) -> ToxicityModel:
+    def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, epochs: int = 8, seed: int = 7, holdout: int = 5) -> ToxicityModel:
         """Trains on a bounded sample of labelled rows.
 
         docs: doc_id, text; labels: doc_id, toxic (0 or 1; of several, the largest; null: none). Rows
@@ -107,20 +107,24 @@ class ToxicityModel:
     def _train(texts: list[str], y: np.ndarray, every: np.ndarray, epochs: int, seed: int) -> ToxicityModel:
         order = np.random.default_rng(seed).permutation(len(texts))
         texts, y, every = [texts[i] for i in order], y[order], every[order]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+        # A feature of one or two documents tells nothing that carries over; the first pass finds the others.
+        held = np.zeros(1 << BITS, np.int32)
+        for _, data, offsets in T.chunks(batch, limit=T.CHUNK // 4):
+            s = Sentences(data, offsets)
+            held += np.bincount(np.unique((s.of[s.row] << BITS) | s.features) & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+        known = np.flatnonzero(held >= 3)
+        number = np.full(1 << BITS, -1, np.int32)
+        number[known] = np.arange(len(known))
         parts, done, sentences = [], 0, 0
-        for rows, data, offsets in T.chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])):
+        for rows, data, offsets in T.chunks(batch, limit=T.CHUNK // 4):
             s = Sentences(data, offsets)
-            pairs = np.unique((s.row.astype(np.int64) << BITS) | s.features)
-            parts.append((sentences + (pairs >> BITS), pairs & ((1 << BITS) - 1), s.of + done))
+            use = np.flatnonzero(number[s.features] >= 0)
+            pairs = np.unique((s.row[use] << BITS) | s.features[use])
+            parts.append(((sentences + (pairs >> BITS)).astype(np.int32), number[pairs & ((1 << BITS) - 1)], (s.of + done).astype(np.int32)))
             done, sentences = done + rows.num_rows, sentences + s.count
         row, feature, of = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        # A feature of one or two documents tells nothing that carries over.
-        in_docs = np.unique((of[row].astype(np.int64) << BITS) | feature) & ((1 << BITS) - 1)
-        known = np.flatnonzero(np.bincount(in_docs, minlength=1 << BITS) >= 3)
-        number = np.full(1 << BITS, -1, np.int64)
-        number[known] = np.arange(len(known))
-        use = number[feature] >= 0
-        row, feature = row[use], number[feature[use]]
+        del parts, batch
         w, g2 = np.zeros(len(known)), np.full(len(known), 1e-6)
         bias, b2, rate, l1 = -4.0, 1e-6, 0.3, 2e-5
         size = max(16, min(256, len(texts) // 40))
