@@ -89,14 +89,14 @@ def _shard_of(keys: list[str], splitters: list[tuple[int, ...]], low: int = 0) -
     return F.when(_below(keys, splitters[mid]), _shard_of(keys, splitters[:mid], low)).otherwise(_shard_of(keys, splitters[mid + 1 :], low + mid + 1))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, overhead: int = 8, slot_rows: int = 250_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, overhead: int = 8, slot_rows: int = 250_000, slot_bytes: int = 64 << 20) -> DataFrame:
     """`docs` (doc_id, text and any others) with size, shard and slot; columns of these names are replaced.
 
     size is the UTF-8 bytes of the text (null: none) plus `overhead`. Shards 0 to shards - 1 differ in
     bytes by no more than twice `tolerance` of a shard, or the size of a document where none is small
     enough. slot numbers a shard's rows from 0 without gaps. Equal texts are neighbours, and rows equal in
     text and doc_id stay together. Null texts sort as empty; an empty table stays empty. Slots are numbered in
-    parts of about `slot_rows` rows, so no task sorts a whole shard.
+    parts of about `slot_rows` rows or `slot_bytes` bytes, so no task sorts a whole shard.
     """
     work = Work(docs.sparkSession, "sharding")
     names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
@@ -106,7 +106,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001,
     rows, total = sizes.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
     splitters = _splitter(sizes, keys, [total * j / shards for j in range(1, shards)], tolerance * total / shards) if rows else []
-    parts = max(1, -(-rows // (shards * slot_rows)))
+    parts = max(1, -(-rows // (shards * slot_rows)), -(-total // (shards * slot_bytes)))
     part = F.pmod(F.xxhash64("__id", "__text"), F.lit(parts)).cast("int")
     placed = lambda df: df.withColumn("shard", _shard_of(keys, splitters).cast("int")).withColumn("__part", part)
     order = Window.partitionBy("shard", "__part").orderBy(*keys)
