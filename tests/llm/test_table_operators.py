@@ -1,0 +1,200 @@
+"""Sharding, chat formatting, archives, top-k, URLs and licences, and the pipeline as a whole."""
+
+from __future__ import annotations
+
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from quarrystone.llm.chat import format_conversations, loss_text, read_turns
+from quarrystone.llm.entry import ORACLE_SQL, QUERIES
+from quarrystone.llm.licences import TEMPLATES, LicenceModel
+from quarrystone.llm.sharding import shard_documents
+from quarrystone.llm.topk import ImpactIndex, exact_top_k
+from quarrystone.llm.urls import Rule, domain_rule, judge_urls, split_url
+from quarrystone.llm.warc import archive_and_assemble
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, oracle, name):
+    df = QUERIES[name](spark, SF)
+    names, data, columns = oracle(ORACLE_SQL[name])
+    assert sorted(df.columns) == names
+    order = [columns.index(c) for c in df.columns]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in data), key=str)
+
+
+def check_shards(rows, shards):
+    assert all(0 <= r["shard"] < shards for r in rows)
+    sizes = [0] * shards
+    for s in range(shards):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        sizes[s] = sum(r["size"] for r in own)
+    return sizes
+
+
+@pytest.mark.parametrize("slot_rows", [250_000, 7])
+def test_shards_are_near_equal(spark, slot_rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = shard_documents(docs, 24, slot_rows=slot_rows).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(r["size"] == len(r.text.encode()) + 8 for r in rows)
+    sizes = check_shards(rows, 24)
+    assert max(sizes) - min(sizes) <= max(r["size"] for r in rows)
+    assert sum(zlib.crc32(r.text.encode()) for r in rows) == sum(zlib.crc32(r.text.encode()) for r in docs.collect())
+
+
+def test_shards_of_awkward_rows(spark):
+    rows = [(i, "same", 1) for i in range(100)] + [(i, None, 2) for i in range(100, 130)] + [(None, "é" * 4000, 3), (7, "same", 1), (7, "same", 1), (200, "", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    got = shard_documents(df, 4).collect()
+    sizes = check_shards(got, 4)
+    assert len(got) == len(rows)
+    assert max(sizes) <= 8008 + 600
+    assert shard_documents(df.limit(0), 4).collect() == []
+    assert set(r.shard for r in shard_documents(df, 1).collect()) == {0}
+    assert len(shard_documents(df.limit(2), 5).collect()) == 2
+
+
+def test_chat_round_trip(spark):
+    texts = ["<|im_end|>\n", "<\\|x", "<\\\\|", "<", "|", "", None, "a<|im_sep|>b<|im_next|>", "é\n🙂", "$1\\", "<" * 5 + "|" * 5]
+    rng = random.Random(4)
+    rows = []
+    for c in range(40):
+        for t in range(rng.randint(1, 9)):
+            rows.append((c, t, rng.choice(["user", "assistant", "system", "<|odd|>\n", None]), "".join(rng.choice(texts) or "" for _ in range(3)) if rng.random() < 0.9 else None, "x"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").repartition(3)
+    got = format_conversations(df).select("conv_id", "formatted", "pieces", read_turns(F.col("formatted")).alias("t"), loss_text(F.col("pieces")).alias("loss")).collect()
+    for r in got:
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert [(x.role, x.text) for x in r.t] == [(x[2] or "", x[3] or "") for x in own]
+        assert r.loss == "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert r.formatted == "".join(p.text for p in r.pieces)
+        assert r.formatted.count("<|im_start|>") == sum(i == 0 or (x[2] or "") != (own[i - 1][2] or "") for i, x in enumerate(own))
+
+
+def test_chat_awkward_rows(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert format_conversations(spark.createDataFrame([], schema)).collect() == []
+    rows = [(None, None, None, None), (1, 2, "assistant", "b"), (1, 2, "assistant", "a"), (1, None, "user", "q"), (1, 2, "assistant", "a"), (2, 1, "user", "z" * 200_000)]
+    got = {r.conv_id: [(t.role, t.text) for t in r.t] for r in format_conversations(spark.createDataFrame(rows, schema)).select("conv_id", read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got[None] == [("", "")]
+    assert got[1] == [("user", "q"), ("assistant", "a"), ("assistant", "a"), ("assistant", "b")]
+    assert got[2] == [("user", "z" * 200_000)]
+
+
+def test_archives_round_trip(spark):
+    mark = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb"
+    rows = [(1, "http://a b/\n", mark), (2, "u", mark), (3, None, None), (4, "", ""), (5, "v", "\r\n\r\n"), (6, "w", mark + "\r\n\r\n"), (7, "z", "\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\n")]
+    rows += [(8, "é", "hé\r\n0\r\n\r\n"), (9, "u", "plain"), (9, "u", "plain"), (None, "x", "y"), (10, "l", "long " * 100_000), (-3, "n", "plain")]
+    df = spark.createDataFrame([(*x, 0) for x in rows], "page_id long, url string, html string, digest int").repartition(2)
+    got = {int(r.record_id.rsplit(":", 1)[1][:-1]): r for r in archive_and_assemble(df).collect()}
+    want = {i: h or "" for i, _, h in rows if i is not None}
+    assert set(got) == set(want)
+    for i, html in want.items():
+        holder = max(j for j, h in want.items() if h == html)
+        r = got[i]
+        assert r.whole and r.request is not None and r.metadata.fields.strip() == f"page_id: {i}"
+        assert r.record_type == ("response" if holder == i else "revisit")
+        assert r.payload == (html if holder == i else None)
+        assert r.response.payload_bytes == len(html.encode())
+        assert r.digest == r.response.payload_digest
+        assert (r.refers_to is None) == (holder == i)
+    assert archive_and_assemble(df.limit(0)).collect() == []
+
+
+def test_index_stops_only_on_proof():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-200, 200, (3000, 24))
+    x[1000:1600] = x[5]
+    ids = rng.permutation(3000).astype(np.int64)
+    index = ImpactIndex(ids, x)
+    for i in (5, 17, 1200):
+        for k in (1, 10, 50):
+            vec, score = index.top(x[i].astype(float), ids[i], k)
+            every = sorted((-int(s), int(d)) for s, d in zip(x @ x[i], ids, strict=True) if d != ids[i])[:k]
+            assert sorted((-int(s), int(d)) for s, d in zip(score, vec, strict=True))[:k] == every
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 7, "query_block": 3}])
+def test_top_k_of_awkward_rows(spark, settings):
+    rng = random.Random(6)
+    good = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(i, [0.5] * 5) for i in range(60, 90)]
+    odd = [(100, None), (200, []), (300, [1.0, None, 0.0, 0.0, 0.0]), (400, [math.nan] * 5), (500, [math.inf] * 5), (600, [1.0] * 3), (None, [1.0] * 5)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in good + odd], "vec_id long, embedding array<float>, score string").repartition(3)
+    got = exact_top_k(df, df.where("vec_id % 10 = 0"), k=10, **settings).collect()
+    v = {i: [math.floor(1024 * float(np.float32(x))) for x in e] for i, e in good}
+    want = []
+    for q in (i for i in v if i % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[d], strict=True)), d) for d in v if d != q)[:10]
+        want += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert exact_top_k(df.limit(0), df.limit(0)).collect() == []
+    few = df.where("vec_id in (0, 1, 2)")
+    assert len(exact_top_k(few, few).collect()) == 6
+
+
+def test_urls(spark):
+    rules = [domain_rule("com", "/en/", "block"), domain_rule("example.com", "/en/7", "allow"), Rule("re", r"\d{4}\.html$", "block")]
+    urls = ["http://EXAMPLE.com/en/71?x", "https://a.example.com/en/8", "http://notcom/en/", "http://x.com/EN/", None, "no scheme", "http://", "http://ads.q.org", "http://a/1234.html", "a://b://c.com/en/", "http://com/en/" + "x" * 100_000, "http://héy.com/en/"]
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    for block in (50_000, 1):
+        got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, rules, block_rules=block).collect()}
+        want = {0: "example.com/en/7", 1: "com/en/", 8: "re", 9: None, 10: "com/en/", 11: "com/en/"}
+        assert {i: x[0] for i, x in got.items()} == {i: want.get(i) for i in range(len(urls))}
+        assert [got[i][1] for i in (0, 1, 2, 7, 8)] == ["allow", "block", "allow", "block", "block"]
+    assert split_url("x://H.A/P?q#f") == ("h.a", "/P")
+    assert judge_urls(df.limit(0), rules).collect() == []
+
+
+def test_licences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = LicenceModel.fit(docs)
+    rows = [(i, f"some words here\n{ts[0]}\nmore words") for i, (_, ts) in enumerate(sorted(TEMPLATES.items()))]
+    rows += [(90, None), (91, ""), (92, "\n\n"), (93, "He lost his license in public."), (94, "plain words " * 20_000), (None, TEMPLATES["MIT"][0]), (0, rows[0][1])]
+    found = model.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    by = {r.doc_id: r for r in found if r.doc_id is not None}
+    assert {i: by[i].family for i in by} == dict(enumerate(sorted(TEMPLATES)))
+    assert all(rows[i][1][by[i].start : by[i].end] == TEMPLATES[by[i].family][0] and by[i].paragraph == 1 for i in by)
+    assert sum(r.doc_id == 0 for r in found) == 2
+    assert [r.family for r in found if r.doc_id is None] == ["MIT"]
+    assert model.scan(docs.limit(0)).collect() == []
+
+
+def test_licences_of_a_table(spark):
+    notices = ("Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, p) for r in docs for p, line in enumerate(r.text.split("\n")) if line in notices)
+    assert sorted((r.doc_id, r.paragraph) for r in QUERIES["op5_licences"](spark, SF).collect()) == want
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from test_text_operators import brute_overlaps, classes
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_dedup"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    own = [(r.doc_id, r.text) for r in docs.collect()]
+    best = classes(own, 5)[0]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in best if best[i] == i)
+    clean = stages["decontamination"](spark, docs, sf)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in brute_overlaps(own, items)}
+    assert clean.columns == docs.columns
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _ in own if i not in leaks)
+    mild = stages["toxicity"](spark, docs, sf)
+    assert mild.columns == docs.columns
+    out = corpus_pipeline.run(spark, sf)
+    ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
+    assert ids and ids <= {i for i in best} - leaks
+    repeated = docs.union(docs.limit(3))
+    assert stages["near_dedup"](spark, repeated, sf).count() == kept.count()
