@@ -1,14 +1,14 @@
 """Near-duplicate documents by bottom-k sketches of word shingles.
 
 Method. One hash function orders a document's shingles; its sketch is the k smallest. Documents with
-equal sets become one node. Inverted lists of retained values generate overlaps: a pair of the wanted
-similarity shares at least `need` retained values (see `least_common`), so it suffices to index each
-node's rarest `size - need + 1` values (prefix filtering); passages that many documents share then
-rarely make a list, and a node without enough values held by any other drops out at once. The
-union sketch estimates a pair's similarity and filters; the full sets decide.
+equal sets become one node. Nodes of whose retained values too few are held by any other drop out at
+once; the rest get a wider sketch. Inverted lists of its retained values generate overlaps: a similar pair
+shares at least a certain number of them (see `least_common` and `_index`), so it suffices to
+index each node's rarest (prefix filtering), and passages that many documents share rarely make a list.
+The union sketch estimates a pair's similarity and filters; the full sets decide.
 
 Groups of any size. No list is expanded into all its pairs at first: each round links the members of
-a list with one centre, merges what proved similar, and drops the lists whose members are all in one
+a list with two centres, merges what proved similar, and drops the lists whose members are all in one
 component. When the pairs left between components are few for the size of the index, they are all
 tested. After `star_rounds` they are tested in any case, so no link between different components is lost.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm import text as T
@@ -78,18 +78,50 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _index(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n): each node's rarest retained values, as many as a similar pair can't all avoid."""
-    need = least_common(k, percent)
-    t = percent / 100
-    posts = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    shared = posts.groupBy("v").agg(F.count("*").alias("df")).where("df >= 2")
+def _floor(n: Column, k: int, percent: int) -> Column:
+    """Retained values, of k at most, that a set of size n shares with any similar one."""
     # A set that its sketch holds whole: its partner is whole too, or at most n / t large.
-    whole = F.least(F.ceil(F.col("n") * percent / 100), F.ceil(k - F.col("n") * (1 / t - 1)))
-    prefix = F.col("size") - F.greatest(F.lit(1), F.when(F.col("n") > k, need).otherwise(whole)) + 1
-    held = posts.join(shared, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    left = prefix - (F.col("size") - F.size("held"))  # values that no other node holds come first
-    return held.select("node", "n", "held", left.cast("int").alias("left")).where("left >= 1").select("node", "n", F.explode(F.slice("held", F.lit(1), F.col("left"))).alias("p")).select("p.v", "node", "n")
+    whole = F.least(F.ceil(n * percent / 100), F.ceil(k - n * (100 / percent - 1)))
+    return F.greatest(F.lit(1), F.when(n > k, least_common(k, percent)).otherwise(whole))
+
+
+def _screened(nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The nodes of which enough retained values are held by any other."""
+    posts = nodes.select("node", "n", F.explode("sketch").alias("v"))
+    shared = posts.groupBy("v").agg(F.count("*").alias("df")).where("df >= 2").select("v")
+    return posts.join(shared, "v").groupBy("node", "n").agg(F.count("*").alias("held")).where(F.col("held") >= _floor(F.col("n"), k, percent)).select("node").distinct()
+
+
+def _index(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(v, node, n, low, high): inverted lists of each node's rarest retained values, as many as a similar node can't all avoid.
+
+    The p-th rarest value is of use only for partners so large or small that the overlap they need leaves
+    the p values before it out: partners of at most `low` or at least `high` shingles. That is exact where both sets
+    are held whole; between larger sets it holds for the expected overlap less 5.5 standard deviations; between
+    one of each, values are of use for all sizes.
+    """
+    t = percent / (100 + percent)  # of both sizes' sum, what similar sets have in common
+    posts = sets.select("node", F.size("shingles").alias("n"), F.explode(F.slice("shingles", 1, k)).alias("v"))
+    shared = posts.groupBy("v").agg(F.count("*").alias("df")).where("df >= 2")
+    held = posts.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    n, size = F.col("n"), F.least(F.col("n"), F.lit(k))
+    # Values that no other node holds come first in the order.
+    alone = size - F.size("held")
+    left = (size - _floor(n, k, percent) + 1 - alone).cast("int")
+    p = F.col("alone") + F.col("pos")
+    q = (k - p + 2.2 * math.sqrt(k) + 1) / k / t - 1
+    everything = F.lit(1 << 60)
+    low = F.when(n <= k, F.floor((n - p) / t + 1e-9) - n).when(q < 1, F.floor(q * n + 1)).otherwise(everything)
+    high = F.when((n > k) & (q < 1) & (q > 0), F.floor(n / q)).otherwise(everything)
+    index = held.select("node", "n", "held", alone.alias("alone"), left.alias("left")).where("left >= 1")
+    return index.select("node", "n", "alone", F.posexplode(F.slice("held", F.lit(1), F.col("left"))).alias("pos", "x")).select("x.v", "node", "n", low.cast("long").alias("low"), high.cast("long").alias("high"))
+
+
+def _useful(index: DataFrame, k: int) -> DataFrame:
+    """`index` without the postings that no other of their list can use."""
+    lists = index.groupBy("v").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).where("c >= 2")
+    keep = f"least <= low or most >= high or (n <= {k} and most > {k}) or (n > {k} and least <= {k})"
+    return index.join(lists, "v").where(keep).select("v", "node", "n", "low", "high")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -107,7 +139,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent:
     return full.where(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, star_rounds: int = 6, pairs_per_posting: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, wide: int = 512, star_rounds: int = 6, pairs_per_posting: int = 4) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. A document's set holds its
@@ -124,33 +156,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     sk = work.put(sketches(docs, shingle, k), "sketches")
     classes = sk.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     classes = work.put(classes, "classes")
-    nodes = sk.join(classes, (sk.doc_id == classes.node) & (sk.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch")
-    index = work.put(_index(nodes, k, percent), "index")
-    # Lists of one are of no use; nor are nodes that are in no other list.
-    pairable = index.groupBy("v").agg(F.count("*").alias("c")).where("c >= 2").select("v")
-    index = work.put(index.join(pairable, "v", "left_semi"), "lists")
-    work.drop("index")
-    members = index.select(F.col("node").alias("doc_id")).distinct()
-    nodes = work.put(nodes.join(members.withColumnRenamed("doc_id", "node"), "node", "left_semi").dropDuplicates(["node"]), "nodes")
-    sets = work.put(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id", "left_semi"), shingle), "sets")
-    links, graph = None, None
+    nodes = sk.join(classes, (sk.doc_id == classes.node) & (sk.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node", "n"])
+    members = work.put(_screened(nodes, k, percent), "members")
+    nodes = work.put(nodes.join(members, "node", "left_semi"), "nodes")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").distinct()
+    sets = work.put(full_sets(own, shingle), "sets")
+    index = work.put(_index(sets, wide, percent), "index")
+    index = work.put(_useful(_useful(index, wide), wide), "lists")
+    work.drop("index", "members")
+    index_size = index.count()
+    usable = f"(n <= {wide}) <> (n_b <= {wide}) or ((n_b <= low or n_b >= high) and (n <= low_b or n >= high_b))"
+    graph, last = None, False
     for i in range(star_rounds + 1):
-        own = index.withColumn("label", F.col("node")) if graph is None else index.join(graph, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("label"))
-        lists = own.groupBy("v").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(i)) if i else F.col("node")).alias("centre"))
-        lists = work.put(lists.where("low < high"), f"open-{i}")
-        count, most = lists.agg(F.sum("c"), F.sum(F.expr("cast(c as double) * (c - 1) / 2"))).first()
-        if not count:
+        own = index.withColumn("label", F.col("node")) if graph is None else index.join(graph, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        keys = [F.xxhash64("node", F.lit(2 * i + j)) if i + j else F.col("node") for j in range(2)]  # other centres each round
+        best = [x for j, k in enumerate(keys) for x in (F.min(k).alias(f"key{j}"), F.min_by("node", k).alias(f"centre{j}"))]
+        parts = own.groupBy("v", "label").agg(F.count("*").alias("c"), *best)
+        centres = F.array_distinct(F.array(*[F.min_by(f"centre{j}", f"key{j}") for j in range(2)])).alias("centres")
+        lists = parts.groupBy("v").agg(F.sum("c").alias("c"), F.count("*").alias("labels"), F.sum(F.expr("cast(c as double) * c")).alias("within"), centres)
+        lists = work.put(lists.where("labels > 1").select("v", "centres", F.expr("(cast(c as double) * c - within) / 2").alias("across")), f"open-{i}")
+        across = lists.agg(F.sum("across")).first()[0]
+        if across is None:
             break
-        last = i == star_rounds or most <= pairs_per_posting * count
-        own = own.join(lists.select("v", "centre"), "v")
-        other = own.select("v", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "label")], "centre")
-        pairs = own.where("node <> centre").join(other.where("node_b = centre").drop("centre"), "v") if not last else own.join(other.drop("centre"), "v").where("node < node_b")
-        found = pairs.where(f"label <> label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+        last = last or i == star_rounds or (i > 0 and across <= pairs_per_posting * index_size)
+        own = own.join(lists.select("v", "centres"), "v")
+        other = own.select("v", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "low", "high")], F.col("centres").alias("of"))
+        if last:
+            found = own.join(other, "v").where("node < node_b")
+        else:
+            found = own.join(other.where("array_contains(of, node_b)"), "v").where("node <> node_b")
+        found = found.where(f"label <> label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").where(usable)
         found = work.put(found.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), f"pairs-{i}")
         new = work.put(_links(found, nodes, sets, k, percent), f"links-{i}")
-        links = new if links is None else links.union(new)
-        graph = work.put(connected_components(links, work, f"graph-{i}"), f"labels-{i}")
         work.drop(f"pairs-{i}", f"open-{i}")
+        if new.limit(1).count():
+            links = new if graph is None else new.union(graph.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+            graph = work.put(connected_components(links, work, f"graph-{i}"), f"labels-{i}")
+        elif not last:
+            last = True  # centres find no more: the rest is tested pair by pair
+            continue
         if last:
             break
     out = sk.select("doc_id", "n", "digest").join(classes, "digest", "left")
