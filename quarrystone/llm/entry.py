@@ -66,7 +66,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = archive_and_assemble(read(spark, sf_dir, "pages"))
     page = lambda urn: F.regexp_extract(urn, r":(-?[0-9]+)>$", 1).cast("long")
-    return out.select(page(F.col("record_id")).alias("page_id"), "response.payload_bytes", "response.payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page(F.col("refers_to"))).alias("refers_to"))
+    return out.select(
+        page(F.col("record_id")).alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        "record_type",
+        F.when(F.col("record_type") == "revisit", page(F.col("refers_to"))).alias("refers_to"),
+        page(F.col("request.record_id")).alias("request_of"),
+        F.regexp_extract("metadata.fields", r"page_id: (-?[0-9]+)", 1).cast("long").alias("metadata_of"),
+    )
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +130,21 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op3_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.other FROM r JOIN e ON e.a = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op9_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -170,6 +193,6 @@ ORACLE_SQL = {
                array_to_string(list_transform(flatten(list_transform(parts, lambda v: [v // 32768, v // 1024 % 32, v // 32 % 32, v % 32])),
                                               lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c::INT + 1, 1)), '') AS payload_digest,
                CASE WHEN holder = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN holder <> d.page_id THEN holder END AS refers_to
+               CASE WHEN holder <> d.page_id THEN holder END AS refers_to, d.page_id AS request_of, d.page_id AS metadata_of
         FROM d JOIN b USING (page_id)""",
 }

@@ -123,17 +123,26 @@ def captures(found: DataFrame) -> DataFrame:
     """Transaction assembly: a nested row per capture from its records, joined through concurrent-to identifiers.
 
     record_id, uri, record_type (response or revisit), refers_to, digest, whole, request (record_id), metadata
-    (record_id, fields), response (payload, payload_bytes, payload_digest). The last are those of the full payload, computed from what was read:
-    a revisit's are those of the response it refers to, whose payload isn't repeated. A capture without a request or metadata
-    has null there; records that belong to no response are left out; a record read twice counts once.
+    (record_id, fields), response (payload_bytes, payload_digest), payload. Bytes and digest are those of the full payload, computed
+    from what was read: a revisit's are those of the response it refers to, whose payload isn't repeated. A capture without a request
+    or metadata has null there; records that belong to no response are left out; a record read twice counts once. Archives
+    are parsed once into a table of heads, and payloads are moved only if they are asked for.
     """
+    work = Work(found.sparkSession, "captures")
     once = lambda df, key: df.dropDuplicates([key])
-    main = found.where("kind in ('response', 'revisit')").select("record_id", "uri", F.col("kind").alias("record_type"), "refers_to", "digest", "whole", F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("sha"), "payload")
-    beside = lambda kind, *cols: found.where(F.col("kind") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id"), *cols).alias(kind))
-    full = main.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("bytes").alias("full_bytes"), F.col("sha").alias("full_sha"))
-    out = once(main, "record_id").join(once(beside("request"), "record_id"), "record_id", "left").join(once(beside("metadata", "fields"), "record_id"), "record_id", "left").join(once(full, "refers_to"), "refers_to", "left")
-    response = F.struct("payload", F.coalesce("bytes", "full_bytes").alias("payload_bytes"), F.coalesce("sha", "full_sha").alias("payload_digest"))
-    return out.select("record_id", "uri", "record_type", "refers_to", "digest", "whole", "request", "metadata", response.alias("response"))
+    sizes = [F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")]
+    heads = work.put(found.select("record_id", "kind", "concurrent_to", "refers_to", "uri", "digest", "fields", "whole", *sizes), "heads")
+    main = once(heads.where("kind in ('response', 'revisit')"), "record_id").withColumnRenamed("kind", "record_type").drop("concurrent_to", "fields")
+    # What revisits refer to, as a table: its join with them may meet a response that a third of them share.
+    full = once(heads.where("kind = 'response'"), "record_id").select(F.col("record_id").alias("refers_to"), *[F.col(x).alias(f"full_{x}") for x in ("payload_bytes", "payload_digest")])
+    full = work.put(full, "responses")
+    own = F.struct("payload_bytes", "payload_digest").alias("response")
+    cols = ["record_id", "uri", "record_type", "refers_to", "digest", "whole"]
+    revisits = main.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(full, "refers_to", "left").withColumnsRenamed({"full_payload_bytes": "payload_bytes", "full_payload_digest": "payload_digest"})
+    every = main.where("record_type = 'response'").select(*cols, own).union(revisits.select(*cols, own))
+    beside = lambda kind, *more: once(heads.where(F.col("kind") == kind), "concurrent_to").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id"), *more).alias(kind))
+    payloads = once(found.where("kind = 'response'").select("record_id", "payload"), "record_id")
+    return every.join(beside("request"), "record_id", "left").join(beside("metadata", "fields"), "record_id", "left").join(payloads, "record_id", "left").select(*cols, "request", "metadata", "response", "payload")
 
 
 def archive_and_assemble(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
