@@ -3,9 +3,9 @@
 A block of vectors is indexed by dimension: each dimension's postings, in order of value, are cut into
 segments of one quantised impact. For a query, segments of all dimensions are processed by descending
 impact (query value times the segment's bound), and each adds its exact products to the accumulators.
-What a vector can still gain is bounded, dimension by dimension, by the next segment's bound. Once
-vectors whose bound reaches the k-th best exact score are few, processing stops: that is the proof that no
-other can be in the result. Those possible members are rescored exactly.
+What a vector can still gain is bounded, dimension by dimension, by the next segment's bound. A vector whose
+bound is below the k-th best exact score so far can't be in the result; once that is proven of three in
+four, processing stops, and the possible members that are left are rescored exactly.
 """
 
 from __future__ import annotations
@@ -20,60 +20,51 @@ from pyspark.sql.window import Window
 class ImpactIndex:
     """Postings of a block of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 16):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 8):
         self.ids, self.x = ids, vectors.astype(np.float64)  # exact up to 2**53
         n, self.dims = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        ordered = np.take_along_axis(self.x, self.order, 0)
+        #: By dimension, members in order of value, and the values.
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.intp))
+        self.value = np.take_along_axis(np.ascontiguousarray(self.x.T), self.order, 1)
         #: Segment s of a dimension holds places cut[s] to cut[s + 1] of its order.
         self.cut = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
-        self.low, self.high = ordered[self.cut[:-1]], ordered[self.cut[1:] - 1]
-        place = np.empty((n, self.dims), np.int64)
-        np.put_along_axis(place, self.order.astype(np.int64), np.broadcast_to(np.arange(n)[:, None], (n, self.dims)), 0)
-        self.segment = (np.searchsorted(self.cut, place, "right") - 1).astype(np.int8)
+        self.low, self.high = self.value[:, self.cut[:-1]], self.value[:, self.cut[1:] - 1]
 
     def top(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of at least the k best whose score is `floor` or more; `own` is left out."""
         n, s = len(self.ids), len(self.cut) - 1
-        bound = np.maximum(self.low * q, self.high * q)  # of a segment's products, by (segment, dimension)
-        seg, dim = np.unravel_index(np.argsort(-bound, axis=None, kind="stable"), bound.shape)
-        # A dimension's segments come in order of value, rising or falling with the query's sign.
+        bound = np.maximum(self.low * q[:, None], self.high * q[:, None])  # of a segment's products
+        dim = np.argsort(-bound, axis=None, kind="stable") // s
+        # A dimension's segments come in order of value: from the top where the query is positive, else from the bottom.
         falls = q >= 0
+        every = np.arange(self.dims)
+        possible = np.flatnonzero(self.ids != own)
         took = np.zeros(self.dims, np.int64)
-        acc = np.zeros(n)
-        other = self.ids != own
-        possible = np.flatnonzero(other)
-        todo = len(seg)
-        for a, b in _steps(todo):
-            for i, d in zip(seg[a:b].tolist(), dim[a:b].tolist(), strict=True):
-                members = self.order[self.cut[i] : self.cut[i + 1], d]
-                acc[members] += q[d] * self.x[members, d]
-            took += np.bincount(dim[a:b], minlength=self.dims)
-            if b == todo:
-                break
-            # The bound of what each dimension still holds, and which vectors it is open for.
-            nxt = np.where(falls, s - 1 - took, took)
-            rest = np.where(took < s, bound[np.clip(nxt, 0, s - 1), np.arange(self.dims)], 0.0)
-            part = self.segment[possible]
-            still = np.where(falls, part < s - took, part >= took)
-            upper = acc[possible] + still @ rest
+        for a, b in _steps(len(dim)):
+            took = took + np.bincount(dim[a:b], minlength=self.dims)
+            # What a dimension's next segment allows bounds all that it still holds.
+            rest = np.where(took < s, bound[every, np.clip(np.where(falls, s - 1 - took, took), 0, s - 1)], 0.0)
+            upper = np.full(n, rest.sum())
+            for d in np.flatnonzero(took).tolist():
+                low, high = (self.cut[s - took[d]], n) if falls[d] else (0, self.cut[took[d]])
+                upper[self.order[d, low:high]] += q[d] * self.value[d, low:high] - rest[d]
+            upper = upper[possible]
             if len(possible) > k:
                 best = possible[np.argpartition(-upper, k - 1)[:k]]
-                floor = max(floor, np.partition(self.x[best] @ q, 0)[0])
-            keep = upper >= floor
-            possible = possible[keep]
-            if len(possible) <= 4 * k:
+                floor = max(floor, (self.x[best] @ q).min())
+            possible = possible[upper >= floor]
+            if len(possible) <= max(4 * k, n // 4):
                 break
         score = self.x[possible] @ q
         if len(score) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            possible, score = possible[score >= max(least, floor)], score[score >= max(least, floor)]
-        return self.ids[possible], score
+            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
+        keep = score >= floor
+        return self.ids[possible[keep]], score[keep]
 
 
 def _steps(n: int) -> list[tuple[int, int]]:
-    """Segments between two looks at the bounds: more looks early, when a look costs less than what it can save."""
-    at = [0, *sorted({max(1, n * p // 100) for p in (15, 30, 45, 60, 80)}), n]
+    """Segments processed between two looks at the bounds, which tell little before about half of them."""
+    at = [0, *sorted({max(1, n * p // 100) for p in (48, 60, 75)}), n]
     return [(a, b) for a, b in zip(at, at[1:], strict=False) if a < b]
 
 
