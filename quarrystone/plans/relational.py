@@ -231,3 +231,26 @@ def streamed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["streamed_hourly_events"] = streamed_hourly_events
 ORACLE_SQL["streamed_hourly_events"] = ORACLE_SQL["hourly_events"]
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows over a stream."""
+    out = streaming.drain(streaming.session_counts(streaming.event_stream(spark, sf_dir)))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+QUERIES["streamed_sessions"] = streamed_sessions
+ORACLE_SQL["streamed_sessions"] = """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session"""
+
+
+def streamed_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct events of a stream, deduplicated within the watermark, counted by type."""
+    out = streaming.drain(streaming.first_of_each(streaming.event_stream(spark, sf_dir), ["event_id"]).select("event_id", "event_type"), mode="append")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+QUERIES["streamed_distinct_events"] = streamed_distinct_events
+ORACLE_SQL["streamed_distinct_events"] = "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +23,25 @@ def tumbling_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 hou
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def session_counts(stream: DataFrame, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """Events of each user's sessions: runs of events less than `gap` apart."""
+    found = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("s.start").alias("start"), "n")
+
+
+def first_of_each(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Rows whose keys have not been seen within `late`; older keys leave the state, which stays bounded."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
     """All that the stream yields from what is there now, as a table in memory (results of bounded size only)."""
     spark = df.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrystone-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="quarrystone-stream-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
