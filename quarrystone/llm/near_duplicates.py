@@ -179,7 +179,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         if across is None:
             break
         last = last or i == star_rounds or (i > 0 and across <= pairs_per_posting * index_size)
-        own = own.join(lists.select("v", "centres"), "v")
+        # As a table of its own, a list that holds a third of all nodes can be split by the joins below.
+        own = work.put(own.join(lists.select("v", "centres"), "v"), f"own-{i}")
         other = own.select("v", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "low", "high")], F.col("centres").alias("of"))
         if last:
             found = own.join(other, "v").where("node < node_b")
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
         found = found.where(f"label <> label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").where(usable)
         found = work.put(found.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), f"pairs-{i}")
         new = work.put(_links(found, nodes, sets, k, percent), f"links-{i}")
-        work.drop(f"pairs-{i}", f"open-{i}")
+        work.drop(f"pairs-{i}", f"open-{i}", f"own-{i}")
         if new.limit(1).count():
             links = new if graph is None else new.union(graph.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
             graph = work.put(connected_components(links, work, f"graph-{i}"), f"labels-{i}")
