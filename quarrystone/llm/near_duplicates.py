@@ -204,5 +204,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     work.drop("lists", "sets", "nodes")
-    component = F.coalesce("component", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
