@@ -2,7 +2,8 @@
 
 Sparse multinomial logistic regression over word 1- to 3-grams tells licence families and an unknown class
 apart; its temperature is fitted on held-out paragraphs so that probabilities mean what they say. A
-prediction is confirmed by comparing the paragraph with the family's templates.
+prediction is confirmed by comparing the paragraph with the family's templates. Paragraphs are lines, and
+passages over several lines, which are looked for where a template's word bigrams lie close together.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quarrystone.llm import text as T
 BITS = 20
 GRAMS = (1, 2, 3)
 UNKNOWN = "unknown"
+#: A template's bigrams in a wrapped notice lie within this many times the words of the template.
+REACH = 4
 
 #: Short notices and opening words of public licences, by family.
 TEMPLATES = {
@@ -109,6 +112,11 @@ def _features(data: np.ndarray, paragraphs: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(cols), w
 
 
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of adjacent words."""
+    return T.mix(h[:-1] * T._PLACES[0] + h[1:] * T._PLACES[1])
+
+
 def _unique(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.unique((row << BITS) | col)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
@@ -152,8 +160,15 @@ class LicenceModel:
                             words = [w.upper() for w in words] if rng.random() < 0.3 else [w.lower() for w in words]
                     texts.append(" ".join(words))
                     y.append(c)
-        own = [p for t in drawn["text"] for p in t.split("\n") if p.strip()]
         near = Templates()
+        # A line of a wrapped notice has too little of a template to be near it, but is no example of the unknown class.
+        wrapped, done = set(), 0
+        for rows, data, offsets in T.chunks(pa.RecordBatch.from_arrays([pa.array(drawn["text"].tolist(), pa.large_string())], ["text"])):
+            cuts, of = _lines(data, offsets)
+            for a, b in near.passages(T.Words(data, cuts, between=T.PUNCTUATION), of):
+                wrapped |= {(done + int(of[a]), x - int(np.searchsorted(cuts, offsets[of[a]]))) for x in range(a, b + 1)}
+            done += rows.num_rows
+        own = [p for d, t in enumerate(drawn["text"]) for i, p in enumerate(t.split("\n")) if p.strip() and (d, i) not in wrapped]
         own = [own[i] for i in rng.permutation(len(own))[:max_paragraphs]]
         own = [p for p in own if not any(near.similarity(p, f) >= 0.5 for f in TEMPLATES)]
         for p in [*own, *list(DISTRACTORS) * copies]:
@@ -205,7 +220,10 @@ class LicenceModel:
         """doc_id, paragraph (from 0), start, end (characters), family, probability, similarity, confirmed: a row per paragraph of `docs` (doc_id, text) that is predicted to be of a family.
 
         confirmed tells whether the best template of the family has `least_similarity` of its word bigrams in
-        the paragraph. A paragraph is a line. Null, blank and clean texts give no rows; repeated rows repeat theirs.
+        the paragraph. A paragraph is a line, or a run of lines with a wrapped notice: its number is its first line's, its span that of
+        its lines, and probability and similarity are those of the words from the notice's first to its last. Runs count only if
+        confirmed; of overlapping notices that are of one family or rest on the same words, the one most like its template
+        counts, or else that of fewer lines. Null, blank and clean texts give no rows; repeated rows repeat theirs.
         """
         families, features, weights, bias, temperature = self.families, self.features, self.weights, self.bias, self.temperature
 
@@ -215,39 +233,49 @@ class LicenceModel:
             lead = weights[:, 1:].max(1) - weights[:, 0]
             templates = Templates()
             names = ["doc_id", "paragraph", "start", "end", "family", "probability", "similarity", "confirmed"]
+
+            def judged(data, cuts):
+                """((paragraph, class, probability) of those predicted to be of a family, words)."""
+                row, col, w = _features(data, cuts)
+                n = len(cuts) - 1
+                size = np.maximum(np.bincount(row, minlength=n), 1)
+                hit = np.flatnonzero(number[col] >= 0)
+                r, k = _unique(row[hit], col[hit])
+                # A family passes only if its logit beats the unknown class's: a bound on the gap tells most lines apart.
+                gap = np.bincount(r, lead[number[k]], n) / np.sqrt(size) + (bias[1:].max() - bias[0])
+                likely = np.flatnonzero(gap > 0)
+                place = np.full(n, -1)
+                place[likely] = np.arange(len(likely))
+                use = place[r] >= 0
+                r, k = r[use], k[use]
+                value = 1 / np.sqrt(size[r])
+                z = np.stack([np.bincount(place[r], weights[number[k], c] * value, len(likely)) for c in range(len(families))], 1) + bias
+                p = _softmax(z / temperature)
+                best = p[:, 1:].argmax(1) + 1
+                sure = p[np.arange(len(p)), best]
+                return [(int(likely[i]), int(best[i]), float(sure[i])) for i in np.flatnonzero(sure >= least_probability).tolist()], w
+
             for batch in batches:
                 for rows, data, offsets in T.chunks(batch):
                     if not len(data):
                         continue
                     cuts, of = _lines(data, offsets)
-                    row, col, _ = _features(data, cuts)
-                    n = len(of)
-                    size = np.maximum(np.bincount(row, minlength=n), 1)
-                    hit = np.flatnonzero(number[col] >= 0)
-                    r, k = _unique(row[hit], col[hit])
-                    # A family passes only if its logit beats the unknown class's: a bound on the gap tells most lines apart.
-                    gap = np.bincount(r, lead[number[k]], n) / np.sqrt(size) + (bias[1:].max() - bias[0])
-                    likely = np.flatnonzero(gap > 0)
-                    place = np.full(n, -1)
-                    place[likely] = np.arange(len(likely))
-                    use = place[r] >= 0
-                    r, k = r[use], k[use]
-                    value = 1 / np.sqrt(size[r])
-                    z = np.stack([np.bincount(place[r], weights[number[k], c] * value, len(likely)) for c in range(len(families))], 1) + bias
-                    p = _softmax(z / temperature)
-                    best = p[:, 1:].argmax(1) + 1
-                    sure = p[np.arange(len(p)), best]
+                    text = lambda a, b: data[a:b].tobytes().decode("utf-8", "replace")
+                    found, w = judged(data, cuts)
+                    notices = [Notice(i, i, families[c], p, *templates.best(text(cuts[i], cuts[i + 1]), families[c])) for i, c, p in found]
+                    wrapped = []
+                    for part in _parts(templates.passages(w, of), w):
+                        at = [(w.start[a], w.end[b]) for _, _, a, b in part]
+                        ends = np.concatenate([[0], np.cumsum([b - a for a, b in at])])
+                        for i, c, p in judged(np.concatenate([data[a:b] for a, b in at]), ends)[0]:
+                            wrapped.append(Notice(*part[i][:2], families[c], p, *templates.best(text(*at[i]), families[c])))
                     out = []
-                    for i in np.flatnonzero(sure >= least_probability).tolist():
-                        line = int(likely[i])
-                        d = int(of[line])
-                        raw = data[cuts[line] : cuts[line + 1]].tobytes()
-                        text = raw.decode("utf-8", "replace").rstrip("\n")
-                        family = families[best[i]]
-                        alike = templates.similarity(text, family)
-                        before = data[offsets[d] : cuts[line]]
+                    for x in _settled(notices, [x for x in wrapped if x.alike >= least_similarity], least_similarity):
+                        d = int(of[x.first])
+                        own = text(cuts[x.first], cuts[x.last + 1]).rstrip("\n")
+                        before = data[offsets[d] : cuts[x.first]]
                         start = int(((before & 0xC0) != 0x80).sum())
-                        out.append((d, line - int(np.searchsorted(cuts, offsets[d])), start, start + len(text), family, float(sure[i]), alike, alike >= least_similarity))
+                        out.append((d, x.first - int(np.searchsorted(cuts, offsets[d])), start, start + len(own), x.family, x.sure, x.alike, x.alike >= least_similarity))
                     if out:
                         cols = list(zip(*out, strict=True))
                         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(cols[0])), *[pa.array(x, t) for x, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]], names)
@@ -260,11 +288,56 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True) if len(z) else z
 
 
+@dataclass
+class Notice:
+    """Lines `first` to `last` of a chunk as a notice of a family, and the bigrams that they have of its best template."""
+
+    first: int
+    last: int
+    family: str
+    sure: float
+    alike: float
+    grams: set[tuple[str, ...]]
+
+
+def _parts(passages: dict[tuple[int, int], list[tuple[int, int]]], w: T.Words):
+    """Lists of (first line, last line, first word, last word), of about CHUNK bytes each at most."""
+    part, size = [], 0
+    for (first, last), words in passages.items():
+        for a, b in words:
+            part.append((first, last, a, b))
+            size += int(w.end[b] - w.start[a])
+            if size >= T.CHUNK:
+                yield part
+                part, size = [], 0
+    if part:
+        yield part
+
+
+def _settled(lines: list[Notice], wrapped: list[Notice], least_similarity: float) -> list[Notice]:
+    """Notices in order of place, of which no two that are confirmed overlap and are of one family or one of which rests on words of the other."""
+    if not wrapped:
+        return lines
+    kept = [x for x in lines if x.alike < least_similarity]
+    taken: dict[int, list[Notice]] = {}
+    for x in sorted([x for x in lines if x.alike >= least_similarity] + wrapped, key=lambda x: (-x.alike, x.last - x.first, -x.sure, x.first)):
+        over = [y for i in range(x.first, x.last + 1) for y in taken.get(i, ())]
+        if any(x.family == y.family or x.grams <= y.grams for y in over):
+            continue
+        kept.append(x)
+        for i in range(x.first, x.last + 1):
+            taken.setdefault(i, []).append(x)
+    return sorted(kept, key=lambda x: (x.first, x.last))
+
+
 class Templates:
     """Word bigrams of the templates."""
 
     def __init__(self):
         self.grams = {f: [self._grams(t) for t in ts] for f, ts in TEMPLATES.items()}
+        self.keys = [np.unique(_pairs(T.Words(*_chunk([t]), between=T.PUNCTUATION).hash)) for ts in TEMPLATES.values() for t in ts]
+        self.filter = np.zeros(1 << BITS, bool)
+        self.filter[(np.concatenate(self.keys) >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     @staticmethod
     def _grams(text: str) -> set[tuple[str, ...]]:
@@ -273,5 +346,41 @@ class Templates:
 
     def similarity(self, text: str, family: str) -> float:
         """The largest share of a template's bigrams that the text holds."""
+        return self.best(text, family)[0]
+
+    def best(self, text: str, family: str) -> tuple[float, set[tuple[str, ...]]]:
+        """That share, and the bigrams."""
         own = self._grams(text)
-        return max(len(g & own) / len(g) for g in self.grams[family])
+        most = max(self.grams[family], key=lambda g: len(g & own) / len(g))
+        return len(most & own) / len(most), most & own
+
+    def passages(self, w: T.Words, of: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """{(first line, last line): [(first word, last word)]} of passages over lines of one text that hold half of a template's bigrams or more.
+
+        w: words by line; of: text of each line. Of the passages over the same lines, those with most of a template are given, by template.
+        """
+        line = np.repeat(np.arange(len(of)), np.diff(w.first))
+        key = _pairs(w.hash)
+        near = np.flatnonzero(self.filter[(key >> np.uint64(64 - BITS)).astype(np.int64)])
+        near = near[of[line[near]] == of[line[near + 1]]]
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for keys in self.keys:
+            at = near[np.isin(key[near], keys)]
+            need, reach = -(-len(keys) // 2), REACH * (len(keys) + 1)
+            starts = np.flatnonzero(at[need - 1 :] - at[: max(0, len(at) - need + 1)] <= reach)
+            have, own, low, high, text = key[at].tolist(), at.tolist(), line[at].tolist(), line[at + 1].tolist(), of[line[at]].tolist()
+            best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+            for i in starts.tolist():
+                seen = set()
+                for j in range(i, len(own)):
+                    if own[j] - own[i] > reach or text[j] != text[i]:
+                        break
+                    if have[j] in seen:
+                        continue
+                    seen.add(have[j])
+                    if len(seen) >= need and high[j] > low[i]:
+                        lines = low[i], high[j]
+                        best[lines] = max(best.get(lines, (0, 0, 0, 0)), (len(seen), own[i] - own[j], own[i], own[j] + 1))
+            for lines, x in best.items():
+                out.setdefault(lines, []).append(x[2:])
+        return out

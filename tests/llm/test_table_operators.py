@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -167,6 +168,63 @@ def test_licences(spark):
     assert model.scan(docs.limit(0)).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_wrapped_licences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    prose = "plain words of a house and a tree stand here " * 40
+    narrow = "\n".join(textwrap.wrap(" ".join(MIT.split("\n\n")[2].split()), 40))
+    nc = "This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License."
+    rows = [(1, MIT), (2, BSD), (3, f"é {prose}\n{MIT}{prose}\n{BSD}"), (4, "".join(f" * {x}\r\n" for x in MIT.split("\n"))), (5, f"{prose}\n{narrow}\n{prose}"), (6, nc)]
+    rows += [(7, "Permission is hereby granted, free of charge, to any person\n" + prose), (8, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (9, MIT.split("\n")[4]), (10, "\n".join(MIT.split("\n")[5:]))]
+    plain = docs.where("not text like '%icense%'").limit(200).selectExpr("doc_id + 1000 as doc_id", "text")
+    many = spark.createDataFrame([(i, x) for i in range(100, 200) for x in (MIT, BSD)], "doc_id long, text string")
+    for model in (LicenceModel.fit(docs), LicenceModel.fit(plain.union(many))):
+        found = model.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+        by = {i: sorted((r.family, r.paragraph) for r in found if r.doc_id == i) for i, _ in rows}
+        assert by[1] == [("MIT", 4)]
+        assert by[2] == [("BSD", 3), ("BSD", 6), ("BSD", 9)]
+        assert by[3] == [("BSD", 18), ("BSD", 21), ("BSD", 24), ("MIT", 5)]
+        assert by[4] == [("MIT", 4)]
+        assert by[5] == [("MIT", 1)]
+        assert by[6] == [("CC-BY-NC", 0)]
+        assert by[8] == [("Apache-2.0", 1), ("MIT", 0)]
+        assert by[7] == by[9] == by[10] == []
+        texts = dict(rows)
+        for r in found:
+            own = texts[r.doc_id][r.start : r.end]
+            assert texts[r.doc_id][: r.start].count("\n") == r.paragraph and r.start in (0, texts[r.doc_id].rfind("\n", 0, r.start + 1) + 1)
+            if r.doc_id in (1, 3, 4) and r.family == "MIT":
+                assert "Permission is hereby granted" in own and "without restriction" in own
+
+
 def test_licences_of_a_table(spark):
     notices = ("Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
