@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, word for word or with some words replaced, go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True).select("doc_id").distinct()
     found = Work(spark, "pipeline").put(found, "contaminated")
     return docs.join(found, docs.doc_id.cast("long") == found.doc_id, "left_anti")
 

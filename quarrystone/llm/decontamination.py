@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive tokens that ignores some positions. Hash
 the masks select are built for every place of the benchmark items and looked up at every place of
 every document; each hit fixes an item and an alignment, which is then verified token by token. The
 two masks below hit every alignment that has at most two replaced tokens in some 13 (all 78 cases are
-tested), so verification sees every overlap that counts.
+tested), so verification sees every overlap that counts. Short items have masks of their own: of 8 to 12
+tokens with one replaced, the first four or the next four are intact; shorter ones are hashed whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quarrystone.llm import text as T
 #: Places of each mask that count.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 WINDOW, EQUAL, SHORTEST = 13, 11, 8
+#: Consecutive tokens of a seed of items of SHORTEST to WINDOW - 1 tokens.
+HALF = SHORTEST // 2
 _FACTORS = T.mix(np.arange(101, 111, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _FILTER_BITS = 22
 
@@ -41,9 +44,9 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: tuple[int, ...], salt: int) ->
 
 
 class Items:
-    """Benchmark items as tokens, and their seeds in order of hash."""
+    """Benchmark items as tokens, and their seeds in order of hash; `masks` are those in use, with their salts."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], short: bool = False):
         table = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
         hashes, count = [np.zeros(0, np.uint64)], []
         for _, data, offsets in T.chunks(table):
@@ -53,7 +56,17 @@ class Items:
         self.ids = np.array(ids, np.int64)
         self.tokens = np.concatenate(hashes)
         self.first = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *count]))]).astype(np.int64)
-        parts = [seeds(self.tokens, self.first, m, i + 1) for i, m in enumerate(MASKS)]
+        self.short = short
+        self.masks = [(m, i + 1) for i, m in enumerate(MASKS)]
+        parts = [seeds(self.tokens, self.first, m, salt) for m, salt in self.masks]
+        size, begin = np.diff(self.first), self.first[:-1]
+        some = begin[(size >= SHORTEST) & (size < WINDOW)]
+        for n, places in [*[(n, begin[size == n]) for n in range(1, SHORTEST)], (HALF, np.concatenate([some, some + HALF]))] if short else ():
+            if len(places):
+                self.masks.append((tuple(range(n)), len(MASKS) + len(self.masks)))
+                key, at = seeds(self.tokens, self.first, *self.masks[-1])
+                own = np.isin(at, places)
+                parts.append((key[own], at[own]))
         key, at = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         order = np.argsort(key, kind="stable")
         self.key, self.at = key[order], at[order]
@@ -63,8 +76,8 @@ class Items:
 
     def hits(self, words: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(item, place in the chunk's words where the item would begin), in blocks of about a million at most."""
-        for i, mask in enumerate(MASKS):
-            key, at = seeds(words.hash, words.first, mask, i + 1)
+        for mask, salt in self.masks:
+            key, at = seeds(words.hash, words.first, mask, salt)
             near = np.flatnonzero(self.filter[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             key, at = key[near], at[near]
             low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
@@ -104,7 +117,7 @@ class Items:
         stop = np.where(fits, np.arange(len(row)) + length, np.arange(len(row)) + 1)
         same = text[stop - 1] == text
         score = np.where(fits, total[stop] - total[:-1], 0)
-        need = np.where(size >= WINDOW, EQUAL, size)[row]
+        need = np.where(size >= WINDOW, EQUAL, size - (self.short & (size >= SHORTEST)))[row]
         good = np.flatnonzero(fits & ok & ok[stop - 1] & same & (score >= need))
         if not len(good):
             return np.zeros((0, 6), np.int64)
@@ -122,12 +135,13 @@ class Items:
         return np.stack([text[good][at], item[row[good][at]], best, total_equal, low, high], 1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000, short: bool = False) -> DataFrame:
     """doc_id, item_id, best_window, equal_tokens, start, end (characters): the overlaps of documents with benchmark items, a row per pair and its best alignment.
 
     Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. A pair counts if some
-    aligned 13 tokens of both agree in 11 or more; an item of 8 to 12 tokens must occur whole, a shorter
-    one is not looked for. Items are sent to the tasks as arrays of at most about `block_tokens` tokens; a larger benchmark is
+    aligned 13 tokens of both agree in 11 or more. With `short`, an item of 8 to 12 tokens may have one replaced (as
+    2 of 13, rounded down), and a shorter one must occur whole, even one of a single token; without, one of 8 to 12
+    must occur whole, and a shorter one is not looked for. Items are sent to the tasks as arrays of at most about `block_tokens` tokens; a larger benchmark is
     dealt into blocks by a hash of its texts, and the documents are scanned once for each. Null or blank texts have
     no overlaps; rows that repeat a doc_id give one row per item.
     """
@@ -138,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_
     found = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+        sent = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], short))
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(sent), "doc_id long, item_id long, best_window long, equal_tokens long, start long, end long")
         found = part if found is None else found.union(part)
     best = F.max(F.struct("best_window", "equal_tokens", (-F.col("start")).alias("s"), "end")).alias("m")

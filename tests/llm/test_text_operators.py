@@ -138,6 +138,30 @@ def test_contaminated_equals_brute_force(spark, block):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+@pytest.mark.parametrize("block", [500_000, 60])
+def test_contaminated_by_short_items(spark, block):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(300)]
+    item = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(n, item(n)) for n in range(1, 15)] + [(20, []), (21, ["t1", "t1"])]
+    docs = [(1000, ""), (1001, None), (1002, "t1 t1 t1")]
+    for n, own in items[:14]:
+        for gone in itertools.chain([()], itertools.combinations(range(n), 1), itertools.combinations(range(n), 2)):
+            text = [w if i not in gone else "changed" for i, w in enumerate(own)]
+            docs.append((len(docs), ", ".join(item(rng.randint(0, 3)) + text + item(rng.randint(0, 3))).upper()))
+    docs += [(2000, " ".join(items[9][1][:9])), (2001, " ".join(items[9][1][1:]))]
+    want = set()
+    for (d, text), (i, own) in itertools.product(docs, items):
+        a, size = (text or "").lower().replace(",", "").split(), min(13, len(own))
+        need = size - (0 if size < 8 else 1 if size < 13 else 2)
+        if size and any(sum(x == y for x, y in zip(a[p : p + size], own[q : q + size], strict=True)) >= need for q in range(len(own) - size + 1) for p in range(len(a) - size + 1)):
+            want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = contaminated(spark.createDataFrame(docs, DOCS), bench, block_tokens=block, short=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want)
+    assert {i for _, i in want} == {*range(1, 15), 21}
+
+
 def test_contaminated_places_and_awkward_rows(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
     docs = [(1, f"Vor ü: {item}."), (2, None), (3, ""), (4, item[: len(item) // 2]), (5, item), (5, item), (6, "x " * 40_000 + item)]
