@@ -74,25 +74,26 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     vectors, queries: vec_id, embedding. A component x counts as floor(scale * x). All of a query's candidates are the
     vectors of another vec_id (all, if fewer than k). Vectors that are null, empty, of another length than most queries' (the
     smallest, if tied), without a vec_id, or that hold null or non-finite components take no part on either side; other
-    columns are ignored; repeated vec_ids count each; without vectors or queries there is no result. Queries are sent to the tasks in blocks of
+    columns are ignored; vectors that repeat a vec_id count each; query rows equal in vec_id and components are one query, and others that
+    repeat a vec_id have a result each; without vectors or queries there is no result. Queries are sent to the tasks in blocks of
     `query_block`, and tasks index blocks of `block` vectors, so memory is bounded; scores must stay below 2**53.
     """
     spark = vectors.sparkSession
     vectors, queries = (_usable(df, scale) for df in (vectors, queries))
     lengths = queries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, vec_id long, score long"
+    schema = "query long, query_id long, vec_id long, score long"
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = lengths.d
-    queries, vectors = queries.where(F.size("v") == dims), vectors.where(F.size("v") == dims)
+    queries, vectors = queries.where(F.size("v") == dims).dropDuplicates(["vec_id", "v"]), vectors.where(F.size("v") == dims)
     blocks = -(-queries.count() // query_block)
     found = None
     for b in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
         sent = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), np.array(mine["v"].tolist(), np.float64).reshape(-1, dims)))
-        part = vectors.mapInArrow(_search(sent, dims, k, block), schema)
+        part = vectors.mapInArrow(_search(sent, dims, k, block, b << 32), schema)
         found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -102,7 +103,9 @@ def _usable(df: DataFrame, scale: int) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _search(sent, dims: int, k: int, block: int):
+def _search(sent, dims: int, k: int, block: int, number: int):
+    """Finds the best of each query sent; queries are numbered from `number`."""
+
     def run(batches):
         ids, q = sent.value
         floor = np.full(len(ids), -np.inf)  # each query's k-th best score so far, over this task's blocks
@@ -129,9 +132,9 @@ def _search(sent, dims: int, k: int, block: int):
                     work()
         if sum(x.num_rows for x in held):
             work()
-        rows = [(np.full(len(vec), ids[i]), vec, score) for i in range(len(ids)) for vec, score in best[i]]
+        rows = [(np.full(len(vec), number + i), np.full(len(vec), ids[i]), vec, score) for i in range(len(ids)) for vec, score in best[i]]
         if rows:
-            of, vec, score = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(vec), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+            query, of, vec, score = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(of), pa.array(vec), pa.array(score.astype(np.int64))], ["query", "query_id", "vec_id", "score"])
 
     return run

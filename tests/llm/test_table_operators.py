@@ -141,6 +141,21 @@ def test_top_k_of_awkward_rows(spark, settings):
     assert len(exact_top_k(few, few).collect()) == 6
 
 
+@pytest.mark.parametrize("settings", [{}, {"block": 7, "query_block": 3}])
+def test_top_k_of_repeated_queries(spark, settings):
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-9, 9)) for _ in range(4)]) for i in range(40)]
+    schema = "vec_id long, embedding array<float>"
+    vectors = spark.createDataFrame(rows, schema)
+    other = (10, [float(rng.randint(-9, 9)) for _ in range(4)])
+    queries = spark.createDataFrame([rows[0], rows[0], rows[10], other, rows[20]], schema).repartition(2)
+    want = []
+    for q, v in (rows[0], rows[10], other, rows[20]):
+        best = sorted((-sum(1024 * 1024 * int(a * b) for a, b in zip(v, e, strict=True)), d) for d, e in rows if d != q)[:10]
+        want += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
+    assert sorted(map(tuple, exact_top_k(vectors, queries, scale=1024, **settings).collect())) == sorted(want)
+
+
 def test_urls(spark):
     rules = [domain_rule("com", "/en/", "block"), domain_rule("example.com", "/en/7", "allow"), Rule("re", r"\d{4}\.html$", "block")]
     urls = ["http://EXAMPLE.com/en/71?x", "https://a.example.com/en/8", "http://notcom/en/", "http://x.com/EN/", None, "no scheme", "http://", "http://ads.q.org", "http://a/1234.html", "a://b://c.com/en/", "http://com/en/" + "x" * 100_000, "http://héy.com/en/"]
