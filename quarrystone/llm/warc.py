@@ -51,8 +51,11 @@ def _clean(value: Column) -> Column:
 
 
 def _chunked(payload: Column) -> Column:
-    """The payload in HTTP chunks that part each line end before a version line, so it can't be taken for a record's end."""
-    parts = F.split(payload, r"(?<=\r\n\r)(?=\nWARC/)", -1)
+    """The payload in HTTP chunks that part each line end before a version line, so it can't be taken for a record's end.
+
+    A line end that the payload begins with follows that of the chunk's size.
+    """
+    parts = F.split(payload, r"(?<=\r\n\r|\A\r)(?=\nWARC/)", -1)
     size = lambda x: F.lower(F.hex(F.octet_length(x)))
     return F.concat(F.array_join(F.transform(parts, lambda x: F.concat(size(x), F.lit(CRLF), x, F.lit(CRLF))), ""), F.lit(f"0{CRLF}{CRLF}"))
 
@@ -76,7 +79,8 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = _urn("response", key)
     host = F.regexp_extract("url", r"://([^/?#\s]*)", 1)
     request = _record("request", _urn("request", key), [uri, ("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
-    awkward = F.instr("html", CRLF + CRLF + "WARC/") > 0
+    # The HTTP header's end counts: with it, a version line at the html's beginning would end the record.
+    awkward = F.instr(F.concat(F.lit(CRLF + CRLF), F.col("html")), CRLF + CRLF + "WARC/") > 0
     body = F.when(awkward, F.concat(F.lit(f"{HTTP}Transfer-Encoding: chunked{CRLF}{CRLF}"), _chunked(F.col("html")))).otherwise(F.concat(F.lit(HTTP + CRLF), F.col("html")))
     response = _record("response", own, [uri, sha], "application/http; msgtype=response", body)
     revisit = _record("revisit", own, [uri, sha, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", _urn("response", original))], "application/http; msgtype=response", F.lit(HTTP + CRLF))
@@ -114,7 +118,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def _unchunked(body: Column) -> Column:
     """The payload of `_chunked`: chunks are parted before the line end of a version line, so sizes tell nothing that the marks don't."""
-    first = F.regexp_replace(body, r"\A[0-9a-f]+\r\n", "")
+    # A first chunk of one byte is the half of a line end that the payload begins with.
+    first = F.regexp_replace(body, r"\A(?:1\r\n(\r)\r\n)?[0-9a-f]+\r\n", "$1")
     last = F.regexp_replace(first, r"\r\n0\r\n\r\n\z", "")
     return F.regexp_replace(last, r"(?<=\r\n\r)\r\n[0-9a-f]+\r\n(?=\nWARC/)", "")
 

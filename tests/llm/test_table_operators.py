@@ -110,6 +110,18 @@ def test_archives_round_trip(spark):
     assert archive_and_assemble(df.limit(0)).collect() == []
 
 
+def test_archives_of_payloads_that_begin_as_a_record(spark):
+    mark = "WARC/1.1\r\nWARC-Type: response\r\n\r\nb"
+    html = [mark, "\r\n" + mark, "\r\n\r\n" + mark, "\n" + mark, "\r" + mark, "\r\r\n1a\r\n\n" + mark, "\r\n" + mark + "\r\n\r\n" + mark, "WARC/1.1\r\n", "\r\nWARC/1.1\r\n", "1\r\n\r\r\n" + mark, "\r\n" + mark]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {int(r.record_id.rsplit(":", 1)[1][:-1]): r for r in archive_and_assemble(df).collect()}
+    assert set(got) == set(range(len(html)))
+    for i, text in enumerate(html):
+        r = got[i]
+        assert r.whole and r.digest == r.response.payload_digest and r.response.payload_bytes == len(text)
+        assert (r.record_type, r.payload) == (("revisit", None) if i == 1 else ("response", text))
+
+
 def test_index_stops_only_on_proof():
     rng = np.random.default_rng(3)
     x = rng.integers(-200, 200, (3000, 24))
