@@ -25,19 +25,33 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
-    # Rows that repeat a doc_id share a class and would all stay; they are looked for among the ids only.
+    """One document of each group of copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id.
+
+    Texts that share a doc_id are documents of their own; of rows that repeat doc_id and text, one stays.
+    """
+    # Repeated ids are looked for among the ids only.
     repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeats else kept
+    if not repeats:
+        gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    # Numbers in order of doc_id, one for each of its texts. A table, so that they stay as they are.
+    own, digest = docs.doc_id.cast("long"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    pairs = docs.where("doc_id is not null").select(own.alias("id"), digest.alias("digest")).distinct().orderBy("id", "digest")
+    pairs = Work(spark, "near-dedup").put(pairs.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbered = docs.select(own.alias("id"), digest.alias("digest"), "text").join(pairs, ["id", "digest"]).select(F.col("number").alias("doc_id"), "text")
+    gone = near_duplicates(numbered, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("number")).distinct()
+    gone = pairs.join(gone, "number").select("id", "digest")
+    kept = docs.join(gone, (own == gone.id) & (digest == gone.digest), "left_anti")
+    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, word for word or with some words replaced, go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True).select("doc_id").distinct()
+    # Texts that share a doc_id are told apart.
+    key = F.when(docs.doc_id.isNotNull(), F.xxhash64(docs.doc_id.cast("long"), docs.text))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True).select("doc_id").distinct()
     found = Work(spark, "pipeline").put(found, "contaminated")
-    return docs.join(found, docs.doc_id.cast("long") == found.doc_id, "left_anti")
+    return docs.join(found, key == found.doc_id, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,3 +283,23 @@ def test_pipeline_stages(spark):
     assert ids and ids <= {i for i in best} - leaks
     repeated = docs.union(docs.limit(3))
     assert stages["near_dedup"](spark, repeated, sf).count() == kept.count()
+
+
+def test_pipeline_tells_texts_of_one_doc_id_apart(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(1, text(1)), (2, text(2)), (2, text(1)), (3, text(3)), (3, text(4)), (3, text(4)), (4, text(5)), (4, text(5) + " y"), (4, None), (4, None), (4, ""), (None, text(1))]
+    rows += [(9, text(6)), (9, text(7)), (5, text(7) + " z")]
+    df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id int, text string, source string").repartition(3)
+    kept = stages["near_dedup"](spark, df, SF)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    either = [x for x in got if x in ((4, text(5)), (4, text(5) + " y"))]
+    assert len(either) == 1
+    want = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (4, None), (4, ""), (None, text(1)), (9, text(6)), (5, text(7) + " z")]
+    assert got == sorted(want + either, key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    leaks = spark.createDataFrame([(1, item), (1, text(1)), (None, item), (2, None)], "doc_id int, text string")
+    assert sorted(map(tuple, stages["decontamination"](spark, leaks, SF).collect()), key=str) == sorted([(1, text(1)), (None, item), (2, None)], key=str)
