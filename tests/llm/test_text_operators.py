@@ -249,6 +249,15 @@ def test_toxicity_held_out_accuracy_and_spans(spark):
             assert r.text[s.start : s.end].strip()
 
 
+def test_toxicity_trains_on_all_of_more_than_4000_labels(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ToxicityModel, "_train", staticmethod(lambda texts, y, *_: seen.append((len(texts), int(y.sum())))))
+    df = spark.range(6000).selectExpr("id as doc_id", "concat('word ', id) as text", "cast(id % 5 = 0 as int) as toxic")
+    ToxicityModel.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    used = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(len(used), sum(i % 5 == 0 for i in used))]
+
+
 def test_toxicity_awkward_rows(spark):
     words = ["fine", "good", "plain", "house", "tree", "green"]
     rng = random.Random(2)
