@@ -7,10 +7,11 @@ shares at least a certain number of them (see `least_common` and `_index`), so i
 index each node's rarest (prefix filtering), and passages that many documents share rarely make a list.
 The union sketch estimates a pair's similarity and filters; the full sets decide.
 
-Groups of any size. No list is expanded into all its pairs at first: each round links the members of
+Groups of any size. No list is expanded into all its pairs at first: each round compares the members of
 a list with two centres, merges what proved similar, and drops the lists whose members are all in one
-component. When the pairs left between components are few for the size of the index, they are all
-tested. After `star_rounds` they are tested in any case, so no link between different components is lost.
+component. When the pairs left between components are few for the size of the index, or after
+`star_rounds`, the rest is settled: members compared with the same centre by inverted lists over their differences
+from it (see `_links_by_differences`), others by the lists' pairs, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrystone.llm import text as T
 from quarrystone.llm.components import connected_components
@@ -49,7 +51,7 @@ def _flat(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """(doc_id, n, digest, sketch) for each row: the set's size, a 128-bit digest of it (null if empty) and its k smallest hashes."""
+    """(doc_id, own, n, digest, sketch) for each row: a hash of the text, the set's size, a 128-bit digest of it (null if empty) and its k smallest hashes."""
 
     def run(batches):
         for batch in batches:
@@ -57,25 +59,27 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
+                        rows.column(1),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                         _flat([x[:k] for x in sets]),
                     ],
-                    ["doc_id", "n", "digest", "sketch"],
+                    ["doc_id", "own", "n", "digest", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text")
+    return rows.mapInArrow(run, "doc_id long, own long, n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) for each row, for exact comparison."""
+    """(node, shingles) for each row of `docs` (node, text), for exact comparison."""
 
     def run(batches):
         for batch in batches:
             for rows, sets in _sets(batch, shingle):
                 yield pa.RecordBatch.from_arrays([rows.column(0), _flat(sets)], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _floor(n: Column, k: int, percent: int) -> Column:
@@ -124,8 +128,8 @@ def _useful(index: DataFrame, k: int) -> DataFrame:
     return index.join(lists, "v").where(keep).select("v", "node", "n", "low", "high")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: filtered by the union sketch, decided on full sets."""
+def _compared(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, similar) of the pairs that the union sketch leaves; the full sets decide."""
     floor = least_common(k, percent)
     side = lambda df, name, col: df.select(F.col("node").alias(name), F.col(col).alias(f"{col}_{name}"))
     near = pairs.join(side(nodes, "a", "sketch"), "a").join(side(nodes, "b", "sketch"), "b")
@@ -136,10 +140,56 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent:
     near = near.where(F.when(F.size(union) < k, 100 * seen >= percent * F.size(union)).otherwise(seen >= floor)).select("a", "b")
     full = near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return full.where(100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).select("a", "b")
+    return full.select("a", "b", (100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).alias("similar"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, wide: int = 512, star_rounds: int = 6, pairs_per_posting: int = 4) -> DataFrame:
+def _references(own: DataFrame, tested: DataFrame, most: int) -> DataFrame:
+    """(node, n, label, refs): the nodes of the open lists, each with up to `most` of the nodes it was compared with, those that most of them were compared with."""
+    nodes = own.select("node", "n", "label").distinct()
+    both = tested.select(F.col("a").alias("node"), F.col("b").alias("ref")).union(tested.select(F.col("b").alias("node"), F.col("a").alias("ref")))
+    both = both.distinct().join(nodes.select("node"), "node", "left_semi")
+    common = both.groupBy("ref").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("node").orderBy(F.desc("c"), "ref")
+    best = both.join(common, "ref").withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).groupBy("node").agg(F.collect_list("ref").alias("refs"))
+    return nodes.join(best, "node", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<long>")))
+
+
+def _links_by_differences(refs: DataFrame, sets: DataFrame, percent: int, work: Work, name: str) -> DataFrame:
+    """(a, b): the similar pairs of different labels among nodes of one reference c, which all of them were compared with.
+
+    With D(x) for what the sets of x and c do not have in common, sets x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| members
+    and are similar if that is at most g = (100 - percent) / (100 + percent) of both sizes' sum: if
+    |D(x) & D(y)| >= (A(x) + A(y)) / 2 with A(x) = |D(x)| - g n(x). As links with c are known, that is above 0 for
+    labels that differ, so inverted lists over the differences find every pair. They are far sparser than those over the
+    sets: near-copies of one text share its shingles, but seldom their changes. A value that p rarer ones of D(x) come before
+    is of use only for partners of A(y) <= 2 (|D(x)| - p) - A(x).
+    """
+    refs = refs.select("node", "n", "label", F.explode("refs").alias("ref"))
+    mixed = refs.groupBy("ref").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("ref")
+    side = lambda name, col: sets.select(F.col("node").alias(name), F.col("shingles").alias(col))
+    diff = refs.join(mixed, "ref", "left_semi").join(side("node", "x"), "node").join(side("ref", "c"), "ref")
+    diff = diff.select("ref", "node", "label", "n", F.array_union(F.array_except("x", "c"), F.array_except("c", "x")).alias("d"))
+    g = (100 - percent) / (100 + percent)
+    diff = work.put(diff.select("*", (F.size("d") - F.col("n") * g).alias("a")), f"{name}-differences")
+    # Values that differ for nodes of one label only are common to no pair; they come first in the order.
+    values = diff.select("ref", "label", "node", F.explode("d").alias("v"))
+    shared = values.groupBy("ref", "v").agg(F.count("*").alias("df"), F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("ref", "v", "df")
+    held = values.join(shared, ["ref", "v"]).groupBy("ref", "node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    least = diff.groupBy("ref").agg(F.min("a").alias("least"))
+    p = F.col("p") + F.size("d") - F.size("held")
+    lists = diff.join(held, ["ref", "node"]).join(least, "ref").select("*", F.posexplode("held").alias("p", "h"))
+    lists = lists.select("ref", "h.v", "node", "label", "a", (2 * (F.size("d") - p) - F.col("a")).alias("most"), "least")
+    lists = work.put(lists.where("least <= most + 1e-6").drop("least"), f"{name}-lists")
+    other = lists.select("ref", "v", *[F.col(x).alias(f"{x}_b") for x in ("node", "label", "a", "most")])
+    found = lists.join(other, ["ref", "v"]).where("node < node_b and label <> label_b and a <= most_b + 1e-6 and a_b <= most + 1e-6")
+    found = work.put(found.groupBy("node", "node_b").agg(F.min(F.struct("ref", "a", "a_b")).alias("by")).select("node", "node_b", "by.*"), f"{name}-pairs")
+    own = lambda x: held.select("ref", F.col("node").alias(x), F.transform("held", lambda h: h["v"]).alias(f"held_{x}"))
+    found = found.join(own("node"), ["ref", "node"]).join(own("node_b"), ["ref", "node_b"])
+    alike = F.size(F.array_intersect("held_node", "held_node_b"))
+    return found.where(2 * alike + 1e-6 >= F.col("a") + F.col("a_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, wide: int = 512, star_rounds: int = 2, pairs_per_posting: int = 4, most_references: int = 1) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. A document's set holds its
@@ -147,26 +197,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     are linked when 100 * intersection >= percent * union. component_id is the smallest doc_id reachable;
     kept tells whether it is the row's own.
 
-    Null or blank texts have no shingles and no links and are kept. Rows with equal doc_id are one node:
-    a link of any holds for all. A null doc_id has a null component_id, links nothing, and is kept. An empty
+    Null or blank texts have no shingles and no links of their own. Rows that share a doc_id are one document: a link of
+    any holds for all, whatever their texts. A null doc_id has a null component_id, links nothing, and is kept. An empty
     table gives an empty result. Sets are of 64-bit hashes of shingles.
     """
     spark = docs.sparkSession
     work = Work(spark, "near-duplicates")
     sk = work.put(sketches(docs, shingle, k), "sketches")
-    classes = sk.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = work.put(classes, "classes")
-    nodes = sk.join(classes, (sk.doc_id == classes.node) & (sk.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch").dropDuplicates(["node", "n"])
+    # A node is a class of equal sets. Its number says nothing of doc_ids, which can repeat with other texts.
+    classes = sk.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("of"))
+    classes = work.put(classes.select("digest", "of.doc_id", "of.own", F.monotonically_increasing_id().alias("node")), "classes")
+    nodes = sk.where("digest is not null").select("doc_id", "own", "n", "sketch").join(classes.drop("digest"), ["doc_id", "own"]).select("node", "n", "sketch").dropDuplicates(["node"])
     members = work.put(_screened(nodes, k, percent), "members")
     nodes = work.put(nodes.join(members, "node", "left_semi"), "nodes")
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").distinct()
-    sets = work.put(full_sets(own, shingle), "sets")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text")
+    rows = rows.join(classes.join(members, "node", "left_semi").select("doc_id", "own", "node"), ["doc_id", "own"]).select("node", "text").distinct()
+    sets = work.put(full_sets(rows, shingle), "sets")
     index = work.put(_index(sets, wide, percent), "index")
     index = work.put(_useful(_useful(index, wide), wide), "lists")
     work.drop("index", "members")
     index_size = index.count()
     usable = f"(n <= {wide}) <> (n_b <= {wide}) or ((n_b <= low or n_b >= high) and (n <= low_b or n >= high_b))"
-    graph, last = None, False
+    links, tested, graph, last = _shared_ids(sk, classes, work), None, None, False
+    if links is not None:
+        graph = work.put(connected_components(links, work, "graph"), "labels")
     for i in range(star_rounds + 1):
         own = index.withColumn("label", F.col("node")) if graph is None else index.join(graph, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         keys = [F.xxhash64("node", F.lit(2 * i + j)) if i + j else F.col("node") for j in range(2)]  # other centres each round
@@ -180,16 +234,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
             break
         last = last or i == star_rounds or (i > 0 and across <= pairs_per_posting * index_size)
         # As a table of its own, a list that holds a third of all nodes can be split by the joins below.
-        own = work.put(own.join(lists.select("v", "centres"), "v"), f"own-{i}")
-        other = own.select("v", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "low", "high")], F.col("centres").alias("of"))
+        own = own.join(lists.select("v", "centres"), "v")
+        made = [f"pairs-{i}", f"open-{i}", f"own-{i}"]
+        more = None
+        if last and tested is not None:
+            own = work.put(own, f"own-{i}")
+            refs = work.put(_references(own, tested, most_references), f"refs-{i}")
+            more = _links_by_differences(refs, sets, percent, work, f"last-{i}")
+            own = work.put(own.join(refs.select("node", "refs"), "node"), f"referred-{i}")
+            made += [f"refs-{i}", f"referred-{i}", *[f"last-{i}-{x}" for x in ("differences", "lists", "pairs")]]
+        else:
+            own = work.put(own.withColumn("refs", F.lit(None).cast("array<long>")), f"own-{i}")
+        other = own.select("v", *[F.col(x).alias(f"{x}_b") for x in ("node", "n", "label", "low", "high", "refs")], F.col("centres").alias("of"))
         if last:
-            found = own.join(other, "v").where("node < node_b")
+            found = own.join(other, "v").where("node < node_b and not coalesce(arrays_overlap(refs, refs_b), false)")
         else:
             found = own.join(other.where("array_contains(of, node_b)"), "v").where("node <> node_b")
         found = found.where(f"label <> label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").where(usable)
         found = work.put(found.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), f"pairs-{i}")
-        new = work.put(_links(found, nodes, sets, k, percent), f"links-{i}")
-        work.drop(f"pairs-{i}", f"open-{i}", f"own-{i}")
+        compared = work.put(_compared(found, nodes, sets, k, percent), f"compared-{i}")
+        tested = compared if tested is None else tested.union(compared)
+        new = compared.where("similar").select("a", "b")
+        new = work.put(new if more is None else new.union(more), f"links-{i}")
+        work.drop(*made)
         if new.limit(1).count():
             links = new if graph is None else new.union(graph.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
             graph = work.put(connected_components(links, work, f"graph-{i}"), f"labels-{i}")
@@ -198,11 +265,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
             continue
         if last:
             break
-    out = sk.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    found = classes.select("digest", "doc_id", "node")
     if graph is not None:
-        out = out.join(graph, "node", "left")
+        found = found.join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+        found = work.put(found.join(least, "component").select("digest", "least"), "found")
     else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+        found = found.select("digest", F.col("doc_id").alias("least"))
     work.drop("lists", "sets", "nodes")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    out = sk.select("doc_id", "n", "digest").join(found, "digest", "left")
+    blank = sk.where("digest is null and doc_id is not null").select("doc_id").distinct()
+    if blank.limit(1).count():  # a row without words goes with the others of its doc_id
+        beside = sk.where("digest is not null").select("doc_id", "digest").join(blank, "doc_id", "left_semi").join(found, "digest").groupBy("doc_id").agg(F.min("least").alias("beside"))
+        out = out.join(work.put(beside, "beside"), "doc_id", "left").withColumn("least", F.coalesce("least", "beside"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _shared_ids(sk: DataFrame, classes: DataFrame, work: Work) -> DataFrame | None:
+    """(a, b): links of nodes that have a doc_id in common, a star for each; None if there are none."""
+    rows = sk.where("digest is not null and doc_id is not null")
+    several = rows.groupBy("doc_id").agg(F.min("digest").alias("l"), F.max("digest").alias("m")).where("l <> m").select("doc_id", "l")
+    several = work.put(several, "several")
+    if not several.limit(1).count():
+        return None
+    links = rows.select("doc_id", "digest").join(several, "doc_id").select("digest", "l").distinct()
+    number = lambda key, name: classes.select(F.col("digest").alias(key), F.col("node").alias(name))
+    return work.put(links.join(number("digest", "a"), "digest").join(number("l", "b"), "l").select("a", "b"), "shared")

@@ -64,6 +64,47 @@ def copies(seed, groups=6, members=14, words=60, edits=4):
     return list(enumerate(out, 1))
 
 
+def families(seed, members):
+    """Copies of copies, copies with spans cut out or common passages put in, and mixes of common passages."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages, out = [draw(40) for _ in range(8)], []
+    for size in (50, 120):
+        base = draw(size)
+        family = [base]
+        for _ in range(members):
+            family.append([rng.choice(vocabulary) if rng.random() < 0.012 else w for w in rng.choice(family)])
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                a = rng.randrange(len(own))
+                del own[a : a + rng.randint(1, len(own) // 12 + 1)]
+            if rng.random() < 0.3:
+                own[5:5] = rng.choice(passages)[: rng.randint(3, 12)]
+            out += [own, sum(rng.sample(passages, 3), []) + draw(rng.randint(0, 9))]
+        out += family
+    rng.shuffle(out)
+    return list(enumerate((" ".join(x) for x in out), 1))
+
+
+@pytest.mark.parametrize("settings", [{}, {"pairs_per_posting": 0, "most_references": 2}, {"star_rounds": 0}, {"star_rounds": 6, "pairs_per_posting": 0, "wide": 40}])
+def test_near_duplicates_of_families_equal_all_pairs(spark, settings):
+    docs = families(7, 50)
+    want, sizes = classes(docs, 4)
+    got = near_duplicates(spark.createDataFrame(docs, DOCS), shingle=4, **settings).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id: r.n_shingles for r in got} == sizes
+    assert 2 < len(set(want.values())) < len(want)
+
+
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, b), (7, b), (12, c), (12, None), (11, c + " z"), (5, None), (5, ""), (20, b + " z"), (7, "")]
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), shingle=4).collect()
+    want = {3: 3, 7: 3, 9: 3, 20: 3, 12: 11, 11: 11, 5: 5}
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted((i, want[i], want[i] == i) for i, _ in rows)
+
+
 @pytest.mark.parametrize("settings", [{}, {"k": 8, "wide": 16, "star_rounds": 1}, {"pairs_per_posting": 0}])
 def test_near_duplicates_equal_all_pairs(spark, settings):
     docs = copies(3)
