@@ -108,12 +108,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A toxicity score of every document, learnt from labelled ones of other folds."""
+    """A toxicity score of every document, learnt from labelled ones of other folds; a row without a doc_id has no remainder and is not held out."""
     from quarrystone.llm.toxicity import ToxicityModel
 
     docs = read(spark, sf_dir, "documents")
     scored = ToxicityModel.fit(docs, read(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 

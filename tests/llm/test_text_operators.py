@@ -215,6 +215,16 @@ def test_contaminated_places_and_awkward_rows(spark):
     assert contaminated(df, bench.limit(0)).collect() == []
 
 
+def test_encoder_cache_stays_within_its_bytes():
+    encoder = Encoder(public_tokenizer(), cache_bytes=20_000)
+    rng = random.Random(1)
+    for _ in range(30):
+        text = " ".join(f"q{rng.randrange(10**9)}" for _ in range(200)).encode()
+        ids, _ = encoder.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == encoder.slow.encode(text.decode(), add_special_tokens=False).ids
+        assert sum(170 + len(x) for x in encoder.cache.values()) == encoder.held <= 20_000 + 400
+
+
 def test_encoder_equals_the_library():
     encoder = Encoder(public_tokenizer())
     assert encoder.piece is not None
@@ -282,14 +292,57 @@ def test_toxicity_held_out_accuracy_and_spans(spark):
     model = ToxicityModel.fit(docs, labels)
     held = [r for r in model.score(docs.select("doc_id", "text")).join(labels.select("doc_id", "toxic"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in held)
-    assert right >= 0.97 * len(held)
+    assert right >= 0.98 * len(held)
     caught = [r for r in held if r.toxic and r.score >= 0.5]
-    assert len(caught) >= 0.75 * sum(r.toxic for r in held)
+    assert len(caught) >= 0.87 * sum(r.toxic for r in held)
+    assert sum(r.score >= 0.5 for r in held if not r.toxic) <= 0.005 * len(held)
     for r in caught[:5]:
         for s in r.offending:
             assert r.text[s.start : s.end].strip()
 
 
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    """The score, computed word by word from the model's weights."""
+    from quarrystone.llm import text as T
+    from quarrystone.llm.toxicity import BITS, LEAST_WORDS, PREFIXES
+
+    rng = random.Random(4)
+    words = ["good", "house", "scumbag", "idiotic", "trees", "é", "worthless", "and", "x1"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", "!", ","]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "..."]
+
+    def number(part, salt):
+        w = T.Words(np.frombuffer(part, np.uint8), np.array([0, len(part)]), between=np.zeros(256, bool))
+        h = w.hash if salt is None else T.mix(w.hash + np.uint64(salt))
+        return int(h[0] >> np.uint64(64 - BITS))
+
+    weights = {}
+    for w in words:
+        b = w.encode()
+        for f in [number(b, None), *[number(b[:n], n) for n in PREFIXES if len(b) > n]]:
+            weights.setdefault(f, rng.uniform(-2, 3))
+    features = np.array(sorted(weights))
+    model = ToxicityModel(-3.0, features, np.array([weights[f] for f in features.tolist()]))
+
+    def expected(text):
+        clean, passage = 1.0, []
+        parts = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", p) for p in re.split(r"[.!?\n]", text or "")]
+        passages = []
+        for p in filter(None, parts):
+            if passage and len(passage) >= LEAST_WORDS:
+                passages.append(passage)
+                passage = []
+            passage = passage + p
+        for own in [*passages, passage]:
+            if own:
+                found = {f for w in own for f in [number(w.encode(), None), *[number(w.encode()[:n], n) for n in PREFIXES if len(w.encode()) > n]]}
+                clean *= 1 - 1 / (1 + np.exp(-(-3.0 + sum(weights[f] for f in found))))
+        return 1 - clean
+
+    got = {r.doc_id: r.score for r in model.score(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(expected(text), abs=1e-9), text
+
+
 def test_toxicity_trains_on_all_of_more_than_4000_labels(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(ToxicityModel, "_train", staticmethod(lambda texts, y, *_: seen.append((len(texts), int(y.sum())))))
