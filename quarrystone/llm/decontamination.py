@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
         sent = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], short))
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(sent), "doc_id long, item_id long, best_window long, equal_tokens long, start long, end long")
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.trimmed(_scan(sent)), "doc_id long, item_id long, best_window long, equal_tokens long, start long, end long")
         found = part if found is None else found.union(part)
     best = F.max(F.struct("best_window", "equal_tokens", (-F.col("start")).alias("s"), "end")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.best_window", "m.equal_tokens", (-F.col("m.s")).alias("start"), "m.end")

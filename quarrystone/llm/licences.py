@@ -280,7 +280,7 @@ class LicenceModel:
                         cols = list(zip(*out, strict=True))
                         yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(cols[0])), *[pa.array(x, t) for x, t in zip(cols[1:], (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]], names)
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, paragraph int, start int, end int, family string, probability double, similarity double, confirmed boolean")
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.trimmed(run), "doc_id long, paragraph int, start int, end int, family string, probability double, similarity double, confirmed boolean")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text")
-    return rows.mapInArrow(run, "doc_id long, own long, n long, digest binary, sketch array<long>")
+    return rows.mapInArrow(T.trimmed(run), "doc_id long, own long, n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -79,7 +79,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
             for rows, sets in _sets(batch, shingle):
                 yield pa.RecordBatch.from_arrays([rows.column(0), _flat(sets)], ["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(T.trimmed(run), "node long, shingles array<long>")
 
 
 def _floor(n: Column, k: int, percent: int) -> Column:

@@ -86,7 +86,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.trimmed(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _pack_blocks(column: str, out: str, offset: str, capacity: int, level: int, rows: int, size: int) -> Callable:
@@ -142,7 +142,7 @@ def pack_documents(
     pieces = token_pieces(docs, tokenizer or public_tokenizer(), capacity, end_id).withColumns(derive or {})
     pieces = work.put(pieces if keep_ids else pieces.drop("ids"), "pieces")
     grow = lambda df, *names: StructType([*df.schema.fields, *[StructField(x, LongType()) for x in names]])
-    placed = work.put(pieces.mapInArrow(_pack_blocks("length", "bin", "offset", capacity, 0, block_rows, block_bytes), grow(pieces, "bin", "offset", "bin_fill")), "placed-0")
+    placed = work.put(pieces.mapInArrow(T.trimmed(_pack_blocks("length", "bin", "offset", capacity, 0, block_rows, block_bytes)), grow(pieces, "bin", "offset", "bin_fill")), "placed-0")
     work.drop("pieces")
     bins = work.put(placed.where(f"bin_fill > 0 and bin_fill < {nearly_full * capacity}").select("bin", F.col("bin_fill").alias("fill")), "open-0")
     moves, level = None, 0
@@ -150,7 +150,7 @@ def pack_documents(
     while count > 1:
         level += 1
         parts = -(-count // block_rows)
-        merged = bins.repartition(parts).mapInArrow(_pack_blocks("fill", "parent", "shift", capacity, level, block_rows, block_bytes), grow(bins, "parent", "shift", "bin_fill"))
+        merged = bins.repartition(parts).mapInArrow(T.trimmed(_pack_blocks("fill", "parent", "shift", capacity, level, block_rows, block_bytes)), grow(bins, "parent", "shift", "bin_fill"))
         merged = work.put(merged, f"merged-{level}")
         step = merged.select("bin", "parent", "shift")
         if moves is None:

@@ -17,6 +17,8 @@ LETTER, NUMBER, SPACE, OTHER, UNKNOWN, EDGE = 0, 1, 2, 3, 8, 9
 _LIMIT = 0x2060
 _EDGE_AT = _LIMIT + 1
 _EDGE_CODE = 0xFFFFFFFF
+#: Bytes of a cache entry besides its ids: a slot, a key, an object's head.
+_ENTRY = 170
 _SPACES = {*range(9, 14), 0x20, 0x85, 0xA0}
 
 
@@ -36,12 +38,13 @@ _CLASS = _classes()
 class Encoder:
     """Ids as `Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids` gives them."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
         self.cache: dict[int, bytes] = {}
-        self.limit = cache
+        #: What the cache holds, and may hold, in bytes of Python objects.
+        self.held, self.limit = 0, cache_bytes
         spec = json.loads(self.slow.to_str())
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.piece = self._ranked(spec)
@@ -145,8 +148,9 @@ class Encoder:
         np.cumsum((a.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93) * T.powers(base, len(a)), out=prefix[1:])
         key = T.mix((prefix[end] - prefix[start]) * T.powers(T._INVERSE, len(a))[start] + (end - start).astype(np.uint64))
         unique, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.cache) + len(unique) > self.limit:
+        if self.held > self.limit:
             self.cache.clear()
+            self.held = 0
         cache, keys = self.cache, unique.tolist()
         got = [cache.get(k) for k in keys]
         new = [i for i, x in enumerate(got) if x is None]
@@ -156,7 +160,10 @@ class Encoder:
             low, high = lead[start[at[new]] - shift].tolist(), lead[end[at[new]] - shift].tolist()
             encode = self.piece
             for i, x, y in zip(new, low, high, strict=True):
-                got[i] = cache[keys[i]] = array("I", encode(raw[x:y])).tobytes()
+                got[i] = array("I", encode(raw[x:y])).tobytes()
+                if self.held <= self.limit:
+                    cache[keys[i]] = got[i]
+                    self.held += _ENTRY + len(got[i])
         pool = np.frombuffer(b"".join(got), np.uint32)
         size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
         count = size[inverse]
