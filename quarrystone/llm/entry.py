@@ -62,18 +62,17 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written into web archives, read back, and assembled."""
-    from quarrystone.llm.warc import archive_and_assemble
+    from quarrystone.llm.warc import archive_and_assemble, page_of
 
     out = archive_and_assemble(read(spark, sf_dir, "pages"))
-    page = lambda urn: F.regexp_extract(urn, r":(-?[0-9]+)>$", 1).cast("long")
     return out.select(
-        page(F.col("record_id")).alias("page_id"),
+        page_of(F.col("record_id")).alias("page_id"),
         "response.payload_bytes",
         "response.payload_digest",
         "record_type",
-        F.when(F.col("record_type") == "revisit", page(F.col("refers_to"))).alias("refers_to"),
-        page(F.col("request.record_id")).alias("request_of"),
-        F.regexp_extract("metadata.fields", r"page_id: (-?[0-9]+)", 1).cast("long").alias("metadata_of"),
+        page_of(F.col("refers_to")).alias("refers_to"),
+        page_of(F.col("request.record_id")).alias("request_of"),
+        F.nullif(F.regexp_extract("metadata.fields", r"page_id: (-?[0-9]*)", 1), F.lit("")).cast("long").alias("metadata_of"),
     )
 
 
@@ -186,13 +185,14 @@ ORACLE_SQL = {
                sum(length(text) + escapes + CASE WHEN before IS NULL OR before <> role THEN 33 + length(role) ELSE 11 END)::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
     "op6_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
-        d AS (SELECT page_id, html, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS holder FROM p),
-        b AS (SELECT page_id, list_transform(range(8), lambda i: ('0x' || substr(sha, 1 + 5 * i, 5))::BIGINT) AS parts FROM d)
-        SELECT d.page_id, payload_bytes,
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS sha, row_number() OVER w AS number, first_value(page_id) OVER w AS holder
+              FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url)),
+        b AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(sha, 1 + 5 * i, 5))::BIGINT) AS parts FROM d)
+        SELECT page_id, payload_bytes,
                array_to_string(list_transform(flatten(list_transform(parts, lambda v: [v // 32768, v // 1024 % 32, v // 32 % 32, v % 32])),
                                               lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c::INT + 1, 1)), '') AS payload_digest,
-               CASE WHEN holder = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN holder <> d.page_id THEN holder END AS refers_to, d.page_id AS request_of, d.page_id AS metadata_of
-        FROM d JOIN b USING (page_id)""",
+               CASE WHEN number = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN number > 1 THEN holder END AS refers_to, page_id AS request_of, page_id AS metadata_of
+        FROM b""",
 }

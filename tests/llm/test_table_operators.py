@@ -18,7 +18,7 @@ from quarrystone.llm.licences import TEMPLATES, LicenceModel
 from quarrystone.llm.sharding import shard_documents
 from quarrystone.llm.topk import ImpactIndex, exact_top_k
 from quarrystone.llm.urls import Rule, domain_rule, judge_urls, split_url
-from quarrystone.llm.warc import archive_and_assemble
+from quarrystone.llm.warc import archive_and_assemble, captures, page_of, read_records
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -90,36 +90,78 @@ def test_chat_awkward_rows(spark):
     assert got[2] == [("user", "z" * 200_000)]
 
 
+def check_captures(df, rows):
+    """Each of `rows` (page_id, url, html) is a capture of its own that the assembly of `df` gives back."""
+    import base64
+    import hashlib
+
+    got = archive_and_assemble(df).select("*", page_of(F.col("record_id")).alias("page"), page_of(F.col("refers_to")).alias("of")).collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got})
+    want, order = [], lambda x: (x[0] is None, -(x[0] or 0), x[1] or "")
+    for html in {h or "" for _, _, h in rows}:
+        own = sorted([x for x in rows if (x[2] or "") == html], key=order)
+        raw = html.encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        for i, x in enumerate(own):
+            want.append((x[0], len(raw), digest, "revisit" if i else "response", own[0][0] if i else None, None if i else html))
+    assert sorted(((r.page, r.response.payload_bytes, r.response.payload_digest, r.record_type, r.of, r.payload) for r in got), key=str) == sorted(want, key=str)
+    by = {r.record_id: r for r in got}
+    for r in got:
+        assert r.whole and r.digest == r.response.payload_digest
+        assert r.request.record_id == r.record_id.replace("response", "request") and r.metadata.record_id == r.record_id.replace("response", "metadata")
+        assert r.metadata.fields == f"page_id: {'' if r.page is None else r.page}\r\n"
+        assert r.refers_to is None or by[r.refers_to].record_type == "response"
+
+
 def test_archives_round_trip(spark):
     mark = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb"
     rows = [(1, "http://a b/\n", mark), (2, "u", mark), (3, None, None), (4, "", ""), (5, "v", "\r\n\r\n"), (6, "w", mark + "\r\n\r\n"), (7, "z", "\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\n")]
     rows += [(8, "é", "hé\r\n0\r\n\r\n"), (9, "u", "plain"), (9, "u", "plain"), (None, "x", "y"), (10, "l", "long " * 100_000), (-3, "n", "plain")]
+    rows += [(11, "http://x/WARC/1.1", "WARC/1.WARC/1.1\r\n"), (-(2**63), "m", "plain"), (None, "x", "plain"), (None, "x", "plain"), (9, "v", "plain"), (9, "t", "plain"), (None, "x", "y"), (None, "w", "y")]
+    rows += [(20, "a", "X"), (20, "b", "Y"), (15, "c", "X"), (14, "d", "Y"), (12, "e", "\ufeffbom"), (13, "f", "\r\n" * 40_000 + "WARC/1.")]
     df = spark.createDataFrame([(*x, 0) for x in rows], "page_id long, url string, html string, digest int").repartition(2)
-    got = {int(r.record_id.rsplit(":", 1)[1][:-1]): r for r in archive_and_assemble(df).collect()}
-    want = {i: h or "" for i, _, h in rows if i is not None}
-    assert set(got) == set(want)
-    for i, html in want.items():
-        holder = max(j for j, h in want.items() if h == html)
-        r = got[i]
-        assert r.whole and r.request is not None and r.metadata.fields.strip() == f"page_id: {i}"
-        assert r.record_type == ("response" if holder == i else "revisit")
-        assert r.payload == (html if holder == i else None)
-        assert r.response.payload_bytes == len(html.encode())
-        assert r.digest == r.response.payload_digest
-        assert (r.refers_to is None) == (holder == i)
+    check_captures(df, rows)
+    check_captures(df.coalesce(1), rows)
     assert archive_and_assemble(df.limit(0)).collect() == []
+    assert archive_and_assemble(df, least_bytes=6).where("record_type = 'revisit'").count() == 1
+    assert archive_and_assemble(df, least_bytes=6).select("record_id").distinct().count() == len(rows)
 
 
 def test_archives_of_payloads_that_begin_as_a_record(spark):
     mark = "WARC/1.1\r\nWARC-Type: response\r\n\r\nb"
     html = [mark, "\r\n" + mark, "\r\n\r\n" + mark, "\n" + mark, "\r" + mark, "\r\r\n1a\r\n\n" + mark, "\r\n" + mark + "\r\n\r\n" + mark, "WARC/1.1\r\n", "\r\nWARC/1.1\r\n", "1\r\n\r\r\n" + mark, "\r\n" + mark]
     df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("u"))
-    got = {int(r.record_id.rsplit(":", 1)[1][:-1]): r for r in archive_and_assemble(df).collect()}
-    assert set(got) == set(range(len(html)))
-    for i, text in enumerate(html):
-        r = got[i]
-        assert r.whole and r.digest == r.response.payload_digest and r.response.payload_bytes == len(text)
-        assert (r.record_type, r.payload) == (("revisit", None) if i == 1 else ("response", text))
+    check_captures(df, [(i, "u", x) for i, x in enumerate(html)])
+
+
+def test_archives_longer_than_read_buffers(spark):
+    """Records end at every place of the reader's 64 KB buffer."""
+    rows = [(i, "u", "x" * (i * 7 % 131) + "\r\n" * (i % 5)) for i in range(3000)]
+    check_captures(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), rows)
+
+
+def test_archives_that_others_wrote(spark, tmp_path):
+    """Another version, fields in other case and order, a gzip member for each record, chunks, bytes that are no UTF-8, a cut-off end."""
+    import gzip
+
+    def record(version, fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in fields) + f"content-length:{len(block)}\r\n"
+        return gzip.compress(f"WARC/{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n")
+
+    body = b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n5;x=1\r\nab\r\nc\r\n3\r\n\xff\r\n\r\n0\r\n\r\n"
+    parts = [
+        record("1.0", [("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x\r\n"),
+        record("1.0", [("warc-record-id", "<a>"), ("WARC-TYPE", "response"), ("WARC-Target-URI", "http://a/")], body),
+        record("1.1", [("WARC-Type", "request"), ("WARC-Record-ID", "<b>"), ("WARC-Concurrent-To", "<a>")], b"GET / HTTP/1.1\r\n\r\n"),
+        gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Length: 99\r\n\r\nHTTP/1.1 200 OK\r\n\r\ncut"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(parts))
+    got = {r.record_id: r for r in read_records(spark, str(tmp_path)).withColumn("payload", F.col("payload").cast("binary")).collect()}
+    assert set(got) == {"<i>", "<a>", "<b>", "<c>"}
+    assert (bytes(got["<a>"].payload), got["<a>"].payload_bytes, got["<a>"].whole) == (b"ab\r\nc\xff\r\n", 8, True)
+    assert (bytes(got["<c>"].payload), got["<c>"].whole) == (b"cut", False)
+    found = {r.record_id: r for r in captures(spark, str(tmp_path)).drop("payload").collect()}
+    assert set(found) == {"<a>", "<c>"} and found["<a>"].request.record_id == "<b>" and found["<a>"].metadata is None
 
 
 def test_index_stops_only_on_proof():
