@@ -148,8 +148,8 @@ ORACLE_SQL = {
         WITH u AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
         ), p AS (
-            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path
             FROM u
         ), r(h, pre, action) AS (
             VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
@@ -158,7 +158,11 @@ ORACLE_SQL = {
             FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id
         )
         SELECT p.page_id, host, path, rule,
-               coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|poker|porn|spam|viagra|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(action, CASE WHEN regexp_matches(host, '(^|\.)ads\.', 's') AND regexp_matches(path, '^/about/', 'i') THEN 'allow'
+                                     WHEN regexp_matches(host, '(^|\.)((ads|casino|spam)[.-]|(adserver|adult|bets|pills|poker|porn|tracker|viagra|xxx)\.)')
+                                       OR regexp_matches(path, '/banner/.*\.gif$', 'is') OR regexp_matches(path, '/popunder/', 'i')
+                                       OR regexp_matches(path, '/wp-login\.php([^0-9A-Za-z_.%\x{80}-\x{10FFFF}-]|$)', 'is') THEN 'block'
+                                     ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN f USING (page_id)""",
     "op8_exact_topk": """
         WITH v AS (

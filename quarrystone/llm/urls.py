@@ -21,12 +21,13 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule over `host`, a line end, and `path`; `literals` are whole tokens that any URL it fits contains (none: it is tried on all)."""
+    """Fits a URL in whose path `pattern` and in whose host `host` is found; `literals` are whole tokens that any URL it fits contains (none: it is tried on all)."""
 
     name: str
     pattern: str
     action: str
     literals: tuple[str, ...] = ()
+    host: str = ""
 
 
 def domain_rule(host: str, path: str, action: str) -> Rule:
@@ -35,16 +36,79 @@ def domain_rule(host: str, path: str, action: str) -> Rule:
     if tail and _TOKEN.fullmatch(path[-1:].translate(_LOWER)):
         tail.pop()  # the path's last token may go on in a URL
     literals = tuple(dict.fromkeys([*_TOKEN.findall(host), *tail]))
-    return Rule(host + path, rf"(?:^|\.){re.escape(host)}\n{re.escape(path)}", action, literals)
+    return Rule(host + path, rf"\A{re.escape(path)}", action, literals, rf"(?:\A|\.){re.escape(host)}\Z")
 
 
-def host_word_rule(word: str, action: str = "block") -> Rule:
-    """Fits hosts that hold `word` between dots or hyphens."""
-    return Rule(f"||{word}^", rf"(?:^|[.-]){re.escape(word)}(?=[.\n-])[^\n]*\n", action, (word,))
+def filter_rules(lines: str) -> list[Rule]:
+    """Rules of a filter list, a line each; its text is the rule's name.
 
-
-#: Words that mark a host as unwanted.
-HOST_WORDS = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
+    `||name` fits from the beginning of one of a host's labels, and what follows the first `/` is for the path; a line that
+    begins with `/` fits anywhere in a path. `*` is any run of characters, `^` is one that is no letter, digit, `_`, `-`, `.` or `%`, or the end, `|` at the end
+    is the end. `@@` before a line allows. Lines are lower-case and fit in any case of A-Z; blank ones and those after `!` are left out.
+    """
+    rules = []
+    for line in filter(None, map(str.strip, lines.split("\n"))):
+        if line.startswith("!"):
+            continue
+        body, action = (line[2:], "allow") if line.startswith("@@") else (line, "block")
+        if not body.startswith(("||", "/")):
+            raise ValueError(f"no rule: {line}")
+        host, slash, path = body.removeprefix("||").partition("/") if body.startswith("||") else ("", "/", body[1:])
+        # A token counts whole only if the characters beside it are given and part it from others.
+        literals = [m[0] for x in (f"\n{host}", slash + path) for m in _TOKEN.finditer(x) if m.start() and not m[0].endswith("*") and _parts(x[m.start() - 1], x[m.end() : m.end() + 1])]
+        found = rf"(?:\A|\.){_expression(host)}" if host else ""
+        if host and slash:
+            found += r"\Z"
+        rules.append(Rule(line, (r"\A" if host else "") + _expression(slash + path) if slash else "", action, tuple(dict.fromkeys(literals)), found))
+    return rules
+
+
+def _parts(before: str, after: str) -> bool:
+    return before not in "*" and after not in ("", "*")
+
+
+def _expression(text: str) -> str:
+    """The regular expression of a filter's wildcards; letters fit in either case."""
+    out = []
+    for i, c in enumerate(text):
+        if c == "*":
+            out.append(".*")
+        elif c == "^":
+            out.append(r"(?:[^0-9A-Za-z_.%\x80-\U0010ffff-]|\Z)")
+        elif c == "|" and i == len(text) - 1:
+            out.append(r"\Z")
+        elif c in "abcdefghijklmnopqrstuvwxyz":
+            out.append(f"[{c}{c.upper()}]")
+        else:
+            out.append(re.escape(c))
+    return "".join(out)
+
+
+#: A short filter list for URLs that no other rule fits.
+FILTERS = """
+! hosts with a label of this name, or one that begins with it
+||ads.
+||ads-
+||adserver.
+||adult.
+||bets.
+||casino.
+||casino-
+||pills.
+||poker.
+||porn.
+||spam.
+||spam-
+||tracker.
+||viagra.
+||xxx.
+! paths
+/banner/*.gif|
+/popunder/
+/wp-login.php^
+! parts of those that are wanted
+@@||ads.*/about/
+"""
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -67,7 +131,7 @@ class RuleIndex:
         self.by: dict[str, list] = defaultdict(list)
         self.always: list = []
         for r in rules:
-            entry = (len(r.name), r.name, re.compile(r.pattern, re.S), r.action)
+            entry = (len(r.name), r.name, re.compile(r.host, re.S), re.compile(r.pattern, re.S), r.action)
             if r.literals:
                 self.by[min(r.literals, key=lambda t: (counts.get(t, 0), t))].append(entry)
             else:
@@ -75,10 +139,10 @@ class RuleIndex:
 
     def longest(self, host: str, path: str) -> tuple[int, str, str] | None:
         """(length of name, name, action) of the rule with the longest name that fits; ties to the smaller name."""
-        at, best = f"{host}\n{path}", None
+        best = None
         for found in [self.always, *[self.by[t] for t in tokens(host, path) if t in self.by]]:
-            for size, name, pattern, action in found:
-                if (best is None or (-size, name) < (-best[0], best[1])) and pattern.search(at):
+            for size, name, in_host, in_path, action in found:
+                if (best is None or (-size, name) < (-best[0], best[1])) and in_host.search(host) and in_path.search(path):
                     best = (size, name, action)
         return best
 
@@ -101,11 +165,11 @@ def token_counts(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
 def judge_urls(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | None = None, otherwise: str = "allow", block_rules: int = 50_000) -> DataFrame:
     """`pages` (url and any others) with host, path, rule, pattern and verdict; columns of these names are replaced.
 
-    rule is the longest of `rules` that fits (null: none), pattern the longest of `patterns` (by default, words in the host). The verdict
+    rule is the longest of `rules` that fits (null: none), pattern the longest of `patterns` (by default, FILTERS). The verdict
     is the rule's action, else the pattern's, else `otherwise`. A null URL, or one without `://`, has an empty host and path. Rules
     are sent to the tasks `block_rules` at a time, and each block is one more narrow pass, so their number has no limit.
     """
-    patterns = [host_word_rule(w) for w in HOST_WORDS] if patterns is None else patterns
+    patterns = filter_rules(FILTERS) if patterns is None else patterns
     context = pages.sparkSession.sparkContext
     out = pages.drop("host", "path", "rule", "pattern", "verdict")
     names = out.columns
