@@ -18,3 +18,8 @@ def total(name: str) -> Column:
 def dot(a: str, b: str) -> Column:
     """The inner product of two arrays of numbers, in their order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def utc(name: str) -> Column:
+    """An instant as a timestamp without zone, of its time in UTC whatever the session's zone."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({name}), TIMESTAMP_NTZ '1970-01-01 00:00:00')")

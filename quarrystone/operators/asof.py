@@ -11,8 +11,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, value:
     """Each row of `left` with the columns `value` of the last row of `right` at or before it in `on`, among rows equal in `by`.
 
     One union and one window over (by, on): a shuffle on `by`, and no row is compared with another. Of right rows
-    with equal `on`, the one with the largest `value` counts. Rows without an earlier right row get nulls.
+    with equal `on`, the one with the largest `value` counts. Rows without an earlier right row get nulls. A null in `by` or `on` equals
+    nothing, as in SQL: such left rows get nulls, such right rows match none. A key's rows are one task's, so a key with a
+    third of all rows needs a finer `by`.
     """
+    right = right.where(" and ".join(f"`{c}` is not null" for c in [*by, on]))
     tagged = lambda df, side, carried: df.select(*by, F.col(on), F.lit(side).alias("__side"), carried.alias("__right"), (F.struct(*left.columns) if side else F.lit(None).cast(left.schema)).alias("__left"))
     kind = right.select(F.struct(*value).alias("x")).schema["x"].dataType
     both = tagged(left, 1, F.lit(None).cast(kind)).union(tagged(right, 0, F.struct(*value)))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrystone import streaming
-from quarrystone.functions import dot, money, total
+from quarrystone.functions import dot, money, total, utc
+from quarrystone.functions.python import Words, adler, bit_or_aggregate, html_text
 from quarrystone.operators.asof import asof_join
+from quarrystone.operators.percentile import exact_percentile
 from quarrystone.operators.sessions import sessionize
 from quarrystone.operators.topk import top_per_group
 from quarrystone.sources import table
@@ -105,7 +107,11 @@ def grouping_sets(spark, t):
 @query("""SELECT l_shipyear, median_qty, p90_price FROM (SELECT year(l_shipdate) AS l_shipyear, quantile_cont(l_quantity, 0.5) AS median_qty,
           round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_price FROM lineitem GROUP BY 1)""")
 def percentiles(spark, t):
-    return t("lineitem").groupBy(F.year("l_shipdate").cast("bigint").alias("l_shipyear")).agg(F.percentile("l_quantity", 0.5).alias("median_qty"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90_price"))
+    """Exact percentiles; no buffer holds a group's values."""
+    rows = t("lineitem").withColumn("l_shipyear", F.year("l_shipdate").cast("bigint"))
+    quantity = exact_percentile(rows, "l_shipyear", "l_quantity", 0.5).withColumnRenamed("percentile", "median_qty")
+    price = exact_percentile(rows, "l_shipyear", "l_extendedprice", 0.9).select(F.col("l_shipyear").alias("y"), F.round("percentile", 4).alias("p90_price"))
+    return quantity.join(price, F.col("l_shipyear").eqNullSafe(F.col("y"))).drop("y")
 
 
 @query("""SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS sd, round(var_pop(p_size), 4) AS vp, count(DISTINCT p_type) AS types, max(p_name) AS top
@@ -126,8 +132,7 @@ def ranking(spark, t):
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events""")
 def range_frame(spark, t):
     """A window frame over an interval of time."""
-    t("events").createOrReplaceTempView("quarrystone_events")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS in_day FROM quarrystone_events")
+    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS in_day FROM {events}", events=t("events"))
 
 
 @query("""SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3""")
@@ -172,7 +177,7 @@ def last_view_before_purchase(spark, t):
     return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'"), ["user_id"], "ts", ["event_id"]).select("event_id", "event_id_asof")
 
 
-@query("""SELECT vec_id, i::INT AS pos, embedding[i + 1] AS x FROM embeddings, range(0, 64) r(i) WHERE i < len(embedding)""")
+@query("""SELECT vec_id, i::INT AS pos, embedding[i + 1] AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
 def explode_vectors(spark, t):
     return t("embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
 
@@ -214,19 +219,85 @@ def distinct_pairs(spark, t):
     return t("lineitem").select("l_suppkey", "l_returnflag").distinct()
 
 
-@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+@query("""WITH q AS (SELECT min(embedding) AS q FROM embeddings WHERE vec_id = 0)
           SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, q ORDER BY list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id LIMIT 10""")
 def nearest_to_one(spark, t):
     """Similarity to one vector: one row is sent to all tasks."""
-    one = t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    one = t("embeddings").where("vec_id = 0").agg(F.min("embedding").alias("q"))  # one row, even where the id repeats
     scored = t("embeddings").join(F.broadcast(one)).withColumn("s", dot("embedding", "q"))
     return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 5).alias("score"))
 
 
+@query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o RIGHT JOIN customer ON o_custkey = c_custkey""")
+def right_join(spark, t):
+    return t("orders").where("o_orderpriority = '1-URGENT'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT o_custkey FROM orders EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'""")
+def except_all(spark, t):
+    return t("orders").select("o_custkey").exceptAll(t("orders").where("o_orderstatus = 'F'").select("o_custkey"))
+
+
+@query("""SELECT c_custkey, l.o_orderkey, l.o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) l""")
+def lateral_join(spark, t):
+    """A correlated subquery with a limit for each outer row."""
+    sql = "SELECT c_custkey, l.o_orderkey, l.o_totalprice FROM {c}, LATERAL (SELECT o_orderkey, o_totalprice FROM {o} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) l"
+    return spark.sql(sql, c=t("customer"), o=t("orders"))
+
+
+@query("""SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus))[1] AS first_status, len(list(DISTINCT o_orderstatus))::INT AS statuses,
+          count(*) FILTER (o_orderstatus = 'F') AS f, list_contains(list(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY 1""")
+def arrays_and_maps(spark, t):
+    """Array and map functions over sets and counts of bounded size."""
+    by = t("orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), F.collect_set("o_orderpriority").alias("p"))
+    m = by.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("m"), F.flatten(F.collect_list("p")).alias("p"))
+    return m.select("o_custkey", F.array_min(F.map_keys("m")).alias("first_status"), F.size("m").alias("statuses"), F.coalesce(F.try_element_at("m", F.lit("F")), F.lit(0)).alias("f"), F.array_contains("p", "1-URGENT").alias("urgent"))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS near FROM lineitem GROUP BY 1""")
+def approximate_distinct(spark, t):
+    """A mergeable sketch of distinct keys, held against the exact number: within four of its relative standard deviations of 2 %."""
+    found = t("lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("sketch"), F.countDistinct("l_orderkey").alias("orders"))
+    return found.select("l_returnflag", "orders", (F.abs(F.col("sketch") - F.col("orders")) <= 0.08 * F.col("orders")).alias("near"))
+
+
+@query("""SELECT start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) GROUP BY 1, 2""")
+def sliding_events(spark, t):
+    """Windows of two hours that begin every hour."""
+    return t("events").groupBy(F.window("ts", "2 hours", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH RECURSIVE s(p_partkey, t, i, a, b) AS (
+              SELECT p_partkey, p_name, 1, 1, 0 FROM part
+              UNION ALL SELECT p_partkey, t, i + 1, (a + ascii(substr(t, i, 1))) % 65521, (b + a + ascii(substr(t, i, 1))) % 65521 FROM s WHERE i <= length(t))
+          SELECT p_partkey, (b::BIGINT * 65536 + a)::BIGINT AS adler FROM s WHERE i = length(t) + 1""")
+def scalar_function(spark, t):
+    """A scalar function in Python over Arrow batches."""
+    return t("part").select("p_partkey", adler("p_name").alias("adler"))
+
+
+@query("""SELECT o_custkey, bit_or(o_orderkey)::BIGINT AS bits FROM orders GROUP BY 1""")
+def aggregate_function(spark, t):
+    """An aggregate in Python, partial before the shuffle."""
+    return bit_or_aggregate(t("orders"), "o_custkey", "o_orderkey")
+
+
+@query("""SELECT p_partkey, (pos - 1)::INT AS pos, words[pos] AS word FROM (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS pos FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part))""")
+def table_function(spark, t):
+    """A table function in Python, joined laterally."""
+    return t("part").lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "pos", "word")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href='))::BIGINT AS links FROM pages""")
+def page_titles(spark, t):
+    """Titles, links and text of HTML pages."""
+    return html_text(t("pages").select("page_id", "html")).select("page_id", "title", "links")
+
+
 def streamed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows over a stream."""
     out = streaming.drain(streaming.tumbling_counts(streaming.event_stream(spark, sf_dir)))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return out.withColumn("start", utc("start"))
 
 
 QUERIES["streamed_hourly_events"] = streamed_hourly_events
@@ -236,7 +307,7 @@ ORACLE_SQL["streamed_hourly_events"] = ORACLE_SQL["hourly_events"]
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session windows over a stream."""
     out = streaming.drain(streaming.session_counts(streaming.event_stream(spark, sf_dir)))
-    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return out.withColumn("start", utc("start"))
 
 
 QUERIES["streamed_sessions"] = streamed_sessions
@@ -254,3 +325,29 @@ def streamed_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["streamed_distinct_events"] = streamed_distinct_events
 ORACLE_SQL["streamed_distinct_events"] = "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1"
+
+
+def streamed_sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over a stream."""
+    out = streaming.drain(streaming.tumbling_counts(streaming.event_stream(spark, sf_dir), width="2 hours", slide="1 hour"))
+    return out.withColumn("start", utc("start"))
+
+
+QUERIES["streamed_sliding_events"] = streamed_sliding_events
+ORACLE_SQL["streamed_sliding_events"] = ORACLE_SQL["sliding_events"]
+
+
+def streamed_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of a custom processor: each user's purchases so far."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.ROCKS)
+    try:
+        out = streaming.drain(streaming.purchases(streaming.event_stream(spark, sf_dir)), mode="update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "batch").alias("cents"))
+
+
+QUERIES["streamed_purchases"] = streamed_purchases
+ORACLE_SQL["streamed_purchases"] = """
+    SELECT user_id, count(*) AS n, sum(round(coalesce(value, 0) * 100)::BIGINT)::BIGINT AS cents FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY 1"""

@@ -6,21 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a stream; its timestamps carry no zone and are read as UTC, so that they can carry a watermark."""
+    """events as a stream; its timestamps carry no zone and are read as UTC whatever the session's zone, so that they can carry a watermark."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return raw.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp"))
 
 
-def tumbling_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Events by window and type; a window's state goes once the watermark has passed it."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+def tumbling_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Events by window and type, tumbling or, with `slide`, sliding; a window's state goes once the watermark has passed it."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def session_counts(stream: DataFrame, gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
@@ -34,14 +40,56 @@ def first_of_each(stream: DataFrame, keys: list[str], late: str = "1 hour") -> D
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that the stream yields from what is there now, as a table in memory (results of bounded size only)."""
-    spark = df.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+class Purchases(StatefulProcessor):
+    """Keeps each user's number and sum of purchases, and gives them again with each batch that changes them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("purchases", "n long, cents long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        n, cents = self.state.get() if self.state.exists() else (0, 0)
+        for part in rows:
+            n, cents = n + len(part), cents + int(part["cents"].sum())
+        self.state.update((n, cents))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
+
+    def close(self) -> None:
+        pass
+
+
+def purchases(stream: DataFrame) -> DataFrame:
+    """user_id, n, cents of each batch's users; a state of two numbers a user, however many purchases there are."""
+    bought = stream.where("event_type = 'purchase' and user_id is not null").select("user_id", F.round(F.coalesce(F.col("value"), F.lit(0.0)) * 100).cast("long").alias("cents"))
+    return bought.groupBy("user_id").transformWithStateInPandas(Purchases(), StructType([StructField(x, LongType()) for x in ("user_id", "n", "cents")]), "Update", "None")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names. Where it is unset (local tests), one of this process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quarrystone-stream-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that the stream yields from what is there now, as a Parquet table in the shared folder, written by the executors.
+
+    In complete mode the last batch's result; else each batch's rows, with batch. A batch that is run again replaces what it wrote.
+    """
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], df.schema)
+    empty = empty if mode == "complete" else empty.withColumn("batch", F.lit(0).cast("long"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        at = f"{base}/out" if mode == "complete" else f"{base}/out/{number}"
+        (batch if mode == "complete" else batch.withColumn("batch", F.lit(number).cast("long"))).write.mode("overwrite").parquet(at)
+
+    empty.write.parquet(f"{base}/out" if mode == "complete" else f"{base}/out/none")
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(empty.schema).parquet(f"{base}/out" if mode == "complete" else f"{base}/out/*")

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions.python import bit_or_aggregate, html_text
 from quarrystone.operators.asof import asof_join
+from quarrystone.operators.percentile import exact_percentile
 from quarrystone.operators.sessions import sessionize
 from quarrystone.operators.topk import top_per_group
 
@@ -15,6 +17,40 @@ def test_asof_join_ties_nulls_and_gaps(spark):
     assert got[0].asDict().keys() == {"id", "k", "t", "v_asof"}
 
 
+def test_asof_join_nulls_equal_nothing(spark):
+    left = spark.createDataFrame([(1, None, 10), (2, "a", None), (3, "a", 10)], "id int, k string, t int")
+    right = spark.createDataFrame([(None, 5, 77), ("a", None, 88), ("a", 10, 9)], "k string, t int, v int")
+    assert sorted((r.id, r.v_asof) for r in asof_join(left, right, ["k"], "t", ["v"]).collect()) == [(1, None), (2, None), (3, 9)]
+
+
+def test_exact_percentile(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=5000), "b": np.repeat([1.0, 2.0], 700), "c": np.array([7.0]), None: rng.integers(0, 9, 301).astype(float)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for p in (0.0, 0.1, 0.5, 0.777, 1.0):
+        for accuracy in (50, 10_000):
+            got = {r.g: r.percentile for r in exact_percentile(df, "g", "x", p, accuracy).collect()}
+            assert set(got) == set(groups)
+            assert all(abs(got[g] - np.quantile(xs, p)) < 1e-9 for g, xs in groups.items()), (p, accuracy)
+    assert exact_percentile(df.limit(0), "g", "x", 0.5).collect() == []
+
+
+def test_html_text(spark):
+    html = "<title>A &amp; B</title><style>p{}</style><p>One <b>two</b><script>var x='<p>no</p>'</script><p>three<br>four<!-- no --><a href='/x'>link</a> &lt;5"
+    got = html_text(spark.createDataFrame([(1, html, "z"), (2, None, "z"), (3, "", "z")], "page_id int, html string, title string")).orderBy("page_id").collect()
+    assert (got[0].title, got[0].links, got[0].body) == ("A & B", 1, "One two\nthree\nfourlink <5")
+    assert [(r.title, r.links, r.body) for r in got[1:]] == [("", 0, ""), ("", 0, "")]
+
+
+def test_bits_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 4), (None, 2), ("b", None)], "g string, x int").repartition(3)
+    assert {r.g: r.bits for r in bit_or_aggregate(df, "g", "x").collect()} == {"a": 5, None: 2, "b": 0}
+    assert bit_or_aggregate(df.limit(0), "g", "x").collect() == []
+
+
 def test_sessions(spark):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:00'), (1, TIMESTAMP '2024-01-01 01:00:00'), (1, TIMESTAMP '2024-01-01 03:00:00'), (2, TIMESTAMP '2024-01-01 03:00:00') AS t(u, ts)")
     assert [r.session for r in sessionize(df, ["u"], "ts", "1 HOUR").orderBy("u", "ts").collect()] == [1, 1, 2, 1]
