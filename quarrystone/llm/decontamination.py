@@ -27,6 +27,8 @@ WINDOW, EQUAL, SHORTEST = 13, 11, 8
 HALF = SHORTEST // 2
 _FACTORS = T.mix(np.arange(101, 111, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _FILTER_BITS = 22
+#: Pairs of places of one seed that are listed.
+_LISTED = 1 << 14
 
 
 def seeds(h: np.ndarray, first: np.ndarray, mask: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +77,12 @@ class Items:
         self.filter[(self.key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, words: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item, place in the chunk's words where the item would begin), in blocks of about a million at most."""
+        """(item, place in the chunk's words where the item would begin), in blocks of about a million at most.
+
+        A seed that a text and the items repeat hits at so many pairs of places that they aren't listed: its alignments are marked
+        in an array over the places instead, item by item.
+        """
+        marked: dict[int, list[np.ndarray]] = {}
         for mask, salt in self.masks:
             key, at = seeds(words.hash, words.first, mask, salt)
             near = np.flatnonzero(self.filter[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -84,22 +91,62 @@ class Items:
             n = high - low
             use = n > 0
             low, n, at = low[use], n[use], at[use]
+            own, of, places = np.unique(low, return_inverse=True, return_counts=True)
+            size = np.zeros(len(own), np.int64)
+            size[of] = n
+            heavy = np.flatnonzero((places > 64) & (places * size > _LISTED))
+            for k in heavy.tolist():
+                p = at[of == k]
+                entries = np.arange(own[k], own[k] + size[k])
+                for item in np.unique(self.item[entries]).tolist():
+                    offset = self.at[entries[self.item[entries] == item]] - self.first[item]
+                    base = p[0] - offset.max()
+                    on = np.zeros(p[-1] - offset.min() - base + 1, bool)
+                    for x in offset.tolist():
+                        on[p - (base + x)] = True
+                    marked.setdefault(item, []).append(np.flatnonzero(on) + base)
+            if len(heavy):
+                rest = ~np.isin(of, heavy)
+                low, n, at = low[rest], n[rest], at[rest]
             block = np.cumsum(n) >> 20
             for b in np.unique(block):
                 k = block == b
                 entry = np.repeat(low[k] - (np.cumsum(n[k]) - n[k]), n[k]) + np.arange(n[k].sum())
                 item = self.item[entry]
                 yield item, np.repeat(at[k], n[k]) - (self.at[entry] - self.first[item])
+        for item, parts in marked.items():
+            begin = np.unique(np.concatenate(parts))
+            yield np.full(len(begin), item), begin
 
     def verified(self, words: T.Words) -> np.ndarray:
-        """Rows (text, item, equal tokens of the best window, equal tokens, first and last word of the overlap) of alignments that count."""
-        seen = [np.unique(np.stack(x, 1), axis=0) for x in self.hits(words)]
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *seen]), axis=0)
-        out = [np.zeros((0, 6), np.int64)]
+        """Rows (text, item, equal tokens of the best window, equal tokens, first and last word of the overlap): of each text and item, the best alignment that counts, ties to the first.
+
+        Hits are verified block by block, and an item that a text holds whole is not looked at further on in it.
+        """
+        best = np.zeros((0, 6), np.int64)
         step = max(1, (1 << 20) // max(1, int(np.diff(self.first).max(initial=1))))
-        for a in range(0, len(pairs), step):
-            out.append(self._align(words, pairs[a : a + step, 0], pairs[a : a + step, 1]))
-        return np.concatenate(out)
+        for item, begin in self.hits(words):
+            pairs = np.unique(np.stack([item, begin], 1), axis=0)
+            for a in range(0, len(pairs), step):
+                item, begin = pairs[a : a + step, 0], pairs[a : a + step, 1]
+                if len(best) and a:
+                    # Alignments come in order of place, so only those of texts behind the place can be done.
+                    whole = best[best[:, 3] == np.diff(self.first)[best[:, 1]]]
+                    text = np.searchsorted(words.first, np.maximum(begin, 0), "right") - 1
+                    code = lambda t, i: t * len(self.first) + i
+                    later = np.isin(code(text, item), code(whole[:, 0], whole[:, 1]))
+                    inside = begin + self.first[item + 1] - self.first[item] <= words.first[np.minimum(text + 1, len(words.first) - 1)]
+                    at = dict(zip(code(whole[:, 0], whole[:, 1]).tolist(), whole[:, 4].tolist(), strict=True))
+                    skip = later & inside
+                    skip[skip] = [at[c] < b for c, b in zip(code(text, item)[skip].tolist(), begin[skip].tolist(), strict=True)]
+                    item, begin = item[~skip], begin[~skip]
+                if len(item):
+                    best = np.concatenate([best, self._align(words, item, begin)])
+                    best = best[np.lexsort((best[:, 4], -best[:, 3], -best[:, 2], best[:, 1], best[:, 0]))]
+                    new = np.ones(len(best), bool)
+                    new[1:] = (best[1:, :2] != best[:-1, :2]).any(1)
+                    best = best[new]
+        return best
 
     def _align(self, words: T.Words, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
         size = self.first[item + 1] - self.first[item]

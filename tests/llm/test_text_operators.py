@@ -203,6 +203,33 @@ def test_contaminated_by_short_items(spark, block):
     assert {i for _, i in want} == {*range(1, 15), 21}
 
 
+def test_contaminated_by_repetitive_texts(spark):
+    """Texts and items of one or two words over and over: every alignment hits."""
+    import time
+
+    rng = random.Random(3)
+    items = [(i, ["ha"] * 40) for i in range(30)] + [(40 + i, ["ha", "ho"] * 20) for i in range(10)] + [(60, ["ha"] * 30 + ["x"] + ["ha"] * 9), (61, ["no"] * 13), (62, ["ha"] * 9)]
+    docs = [(1, ["ha"] * 300), (2, ["ho", "ha"] * 150), (3, ["ha"] * 11), (4, [rng.choice(["ha", "ha", "ha", "ho"]) for _ in range(300)]), (5, ["ha"] * 20 + ["x"] + ["ha"] * 200), (6, ["y"] * 300)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = contaminated(spark.createDataFrame([(i, " ".join(x)) for i, x in docs], DOCS).coalesce(1), bench, short=True).collect()
+    want = {}
+    for (d, a), (i, b) in itertools.product(docs, items):
+        size = min(13, len(b))
+        need = 11 if size == 13 else size - 1
+        for begin in range(-len(b) + 1, len(a)):
+            same = [0 <= begin + k < len(a) and a[begin + k] == b[k] for k in range(len(b))]
+            windows = [k for k in range(len(b) - size + 1) if begin + k >= 0 and begin + k + size <= len(a) and sum(same[k : k + size]) >= need]
+            if windows:
+                x = (max(sum(same[k : k + size]) for k in windows), sum(same), -(begin + windows[0]))
+                want[d, i] = max(want.get((d, i), x), x)
+    places = {d: {m.start(): k for k, m in enumerate(re.finditer(r"[a-z]+", " ".join(a)))} for d, a in docs}
+    assert {(r.doc_id, r.item_id): (r.best_window, r.equal_tokens, -places[r.doc_id][r.start]) for r in got} == want
+    long = spark.createDataFrame([(1, "ha " * 32_000), (2, "ha ho " * 16_000)], DOCS)
+    began = time.time()
+    assert contaminated(long, bench, short=True).count() == 32 + 10
+    assert time.time() - began < 40
+
+
 def test_contaminated_places_and_awkward_rows(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
     docs = [(1, f"Vor ü: {item}."), (2, None), (3, ""), (4, item[: len(item) // 2]), (5, item), (5, item), (6, "x " * 40_000 + item)]
