@@ -40,6 +40,14 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def trimmed(run: Callable) -> Callable:
     """A mapInArrow function that gives freed memory back at a task's end: workers serve many stages, and would keep the peak of each."""
 
@@ -47,10 +55,7 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return inner
 

@@ -99,46 +99,54 @@ class ToxicityModel:
         drawn = marked.where(F.when(F.col("y") == 1, draw(share[1])).otherwise(draw(share[0])))
         rows = docs.select("doc_id", "text").where(draw(max(share.values()))).where(F.length("text") <= max_chars).join(drawn, "doc_id")
         rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a doc_id that repeats without end is one row
-        pdf = rows.toPandas().sort_values(["doc_id", "text"])
-        y = pdf["y"].to_numpy(np.int64)
+        table = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        y = table.column("y").to_numpy().astype(np.int64)
         if not len(y):
             return ToxicityModel(-20.0 if not total.get(1) else 0.0, np.zeros(0, np.int64), np.zeros(0))
         every = np.where(y == 1, 1 / share[1], 1 / share[0])
-        return ToxicityModel._train(pdf["text"].tolist(), y, every, epochs, seed, l1)
+        texts = table.column("text").combine_chunks()
+        del table
+        model = ToxicityModel._train(texts, y, every, epochs, seed, l1)
+        T.trim()
+        return model
 
     @staticmethod
-    def _train(texts: list[str], y: np.ndarray, every: np.ndarray, epochs: int, seed: int, l1: float) -> ToxicityModel:
+    def _train(texts: pa.Array | list[str], y: np.ndarray, every: np.ndarray, epochs: int, seed: int, l1: float) -> ToxicityModel:
         order = np.random.default_rng(seed).permutation(len(texts))
-        texts, y, every = [texts[i] for i in order], y[order], every[order]
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+        texts, y, every = (texts if isinstance(texts, pa.Array) else pa.array(texts)).cast(pa.large_string()).take(pa.array(order)), y[order], every[order]
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
         # A feature of one or two documents tells nothing that carries over; the first pass finds the others.
         held = np.zeros(1 << BITS, np.int32)
         for _, data, offsets in T.chunks(batch, limit=T.CHUNK // 4):
             s = Sentences(data, offsets)
             held += np.bincount(np.unique((s.of[s.row] << BITS) | s.features) & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
         known = np.flatnonzero(held >= 3)
+        del held
         number = np.full(1 << BITS, -1, np.int32)
         number[known] = np.arange(len(known))
-        parts, done, sentences = [], 0, 0
+        # Of each sentence its text and its number of features, and the features one after the other.
+        parts, done = [], 0
         for rows, data, offsets in T.chunks(batch, limit=T.CHUNK // 4):
             s = Sentences(data, offsets)
             use = np.flatnonzero(number[s.features] >= 0)
             pairs = np.unique((s.row[use] << BITS) | s.features[use])
-            parts.append(((sentences + (pairs >> BITS)).astype(np.int32), number[pairs & ((1 << BITS) - 1)], (s.of + done).astype(np.int32)))
-            done, sentences = done + rows.num_rows, sentences + s.count
-        row, feature, of = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del parts, batch
+            parts.append((number[pairs & ((1 << BITS) - 1)], np.bincount(pairs >> BITS, minlength=s.count).astype(np.int32), (s.of + done).astype(np.int32)))
+            done += rows.num_rows
+        n_texts = len(texts)
+        del batch, texts, number, s, use, pairs
+        feature, count, of = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        del parts
         w, g2 = np.zeros(len(known)), np.full(len(known), 1e-6)
         bias, b2, rate = -4.0, 1e-6, 0.3
-        size = max(16, min(256, len(texts) // 40))
-        doc_row = np.searchsorted(of, np.arange(len(texts) + 1))
-        row_at = np.searchsorted(row, np.arange(len(of) + 1))
+        size = max(16, min(256, n_texts // 40))
+        doc_row = np.searchsorted(of, np.arange(n_texts + 1))
+        row_at = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         weight = every / every.mean()
-        for _ in range(max(epochs, 40_000 // len(texts))):  # small samples need more passes
-            for a in range(0, len(texts), size):
-                b = min(a + size, len(texts))
+        for _ in range(max(epochs, 40_000 // n_texts)):  # small samples need more passes
+            for a in range(0, n_texts, size):
+                b = min(a + size, n_texts)
                 r0, r1 = doc_row[a], doc_row[b]
-                f, local = feature[row_at[r0] : row_at[r1]], row[row_at[r0] : row_at[r1]] - r0
+                f, local = feature[row_at[r0] : row_at[r1]], np.repeat(np.arange(r1 - r0), count[r0:r1])
                 z = np.clip(bias + np.bincount(local, w[f], r1 - r0), -30, 30)
                 sure = np.bincount(of[r0:r1] - a, np.logaddexp(0, z), b - a)
                 slope = np.where(y[a:b] == 1, -1 / np.maximum(np.expm1(np.minimum(sure, 30)), 1e-3), 1.0) * weight[a:b]
