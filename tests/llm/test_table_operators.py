@@ -63,6 +63,40 @@ def test_shards_of_awkward_rows(spark):
     assert len(shard_documents(df.limit(2), 5).collect()) == 2
 
 
+def test_shards_of_repeated_rows(spark):
+    rows = [(None, "same " * 20, "a")] * 1000 + [(i, f"other {i} " * (i % 9), "b") for i in range(200)] + [(5, "twice", "x"), (5, "twice", "y")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string, Size string").repartition(5)
+    for slot_rows in (250_000, 10):
+        got = shard_documents(df, 24, slot_rows=slot_rows).collect()
+        sizes = check_shards(got, 24)
+        assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((i, t) for i, t, _ in rows), key=str)
+    with pytest.raises(ValueError):
+        shard_documents(df.withColumn("__id", F.lit(1)), 4)
+
+
+def test_splitters_equal_those_of_a_full_sort(spark):
+    """The bytes left of each splitter are as near its target as any place in a full sort of the rows by their keys."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = shard_documents(docs, 24, tolerance=0.0).select("doc_id", "shard", F.col("size"), F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("i")).collect()
+    order = sorted(rows, key=lambda r: (r.t, r.i))
+    assert [r.shard for r in order] == sorted(r.shard for r in rows)
+    below = np.concatenate([[0], np.cumsum([r["size"] for r in order])])
+    edges = [sum(r["size"] for r in rows if r.shard < s) for s in range(1, 24)]
+    for s, edge in enumerate(edges, 1):
+        assert abs(edge - below[-1] * s / 24) == min(abs(below - below[-1] * s / 24))
+
+
+def test_sharding_query_columns(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op1_sharding"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r["size"] == len(texts[r.doc_id].encode()) + 8 for r in rows)
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    sizes = check_shards(rows, 24)
+    assert max(sizes) - min(sizes) <= max(r["size"] for r in rows)
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>\n", "<\\|x", "<\\\\|", "<", "|", "", None, "a<|im_sep|>b<|im_next|>", "é\n🙂", "$1\\", "<" * 5 + "|" * 5]
     rng = random.Random(4)
