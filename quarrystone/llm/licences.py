@@ -34,6 +34,7 @@ TEMPLATES = {
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
@@ -74,6 +75,36 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ),
 }
+#: Words of which a family's notices hold one at least, and words that none of them holds.
+MARKS = {
+    "Apache-2.0": (("apache",), ()),
+    "BSD": (("bsd", "redistribution", "redistributions"), ()),
+    "CC-BY": (("cc", "creative"), ("nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs")),
+    "CC-BY-NC": (("nc", "noncommercial"), ("sa", "nd", "sharealike", "noderivatives", "noderivs")),
+    "CC-BY-SA": (("sa", "sharealike"), ("nc", "nd", "noncommercial", "noderivatives", "noderivs")),
+    "CC0": (("cc0", "waived"), ()),
+    "GPL": (("gnu", "gpl"), ("lesser", "lgpl", "affero", "agpl", "documentation")),
+    "LGPL": (("lesser", "lgpl"), ()),
+    "MIT": (("mit", "permission"), ()),
+    "MPL-2.0": (("mozilla", "mpl"), ()),
+}
+#: Notices of other licences, which are of the unknown class.
+NEAR_MISSES = (
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Licensed under the Artistic License, Version 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This manual is licensed under the GNU Free Documentation License, version 1.3.",
+    "Released under the ISC License.",
+    "Released under the zlib License.",
+    "SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+)
 #: Sentences that speak of licences without granting one.
 DISTRACTORS = (
     "All rights reserved.",
@@ -138,15 +169,15 @@ class LicenceModel:
     temperature: float
 
     @staticmethod
-    def fit(docs: DataFrame, max_paragraphs: int = 4000, max_docs: int = 2000, copies: int = 40, epochs: int = 60, seed: int = 11) -> LicenceModel:
+    def fit(docs: DataFrame, max_paragraphs: int = 4000, max_docs: int = 2000, max_chars: int = 20_000, copies: int = 40, epochs: int = 60, seed: int = 11) -> LicenceModel:
         """Trains on changed copies of the templates against paragraphs of the corpus.
 
-        Of `docs` (doc_id, text), about `max_docs` documents of at most 20,000 characters are drawn by a hash of doc_id, and of their paragraphs
+        Of `docs` (doc_id, text), about `max_docs` documents of at most `max_chars` characters are drawn by a hash of doc_id and text, and of their paragraphs
         `max_paragraphs` at most, as examples of the unknown class; those that are near a template are left out.
         """
-        spark_docs = docs.where("doc_id is not null and text is not null and length(text) <= 20000").select("doc_id", "text")
+        usable = docs.where("doc_id is not null and text is not null").where(F.length("text") <= max_chars).select("doc_id", "text")
         share = min(1.0, max_docs / max(1, docs.count()))
-        drawn = spark_docs.where(F.xxhash64("doc_id").cast("double") < (2 * share - 1) * float(1 << 63)).toPandas().sort_values(["doc_id", "text"])
+        drawn = usable.where(F.xxhash64("doc_id", "text").cast("double") < (2 * share - 1) * float(1 << 63)).distinct().toPandas().sort_values(["doc_id", "text"])
         rng = np.random.default_rng(seed)
         families = [UNKNOWN, *TEMPLATES]
         texts, y = [], []
@@ -171,7 +202,7 @@ class LicenceModel:
         own = [p for d, t in enumerate(drawn["text"]) for i, p in enumerate(t.split("\n")) if p.strip() and (d, i) not in wrapped]
         own = [own[i] for i in rng.permutation(len(own))[:max_paragraphs]]
         own = [p for p in own if not any(near.similarity(p, f) >= 0.5 for f in TEMPLATES)]
-        for p in [*own, *list(DISTRACTORS) * copies]:
+        for p in [*own, *list(DISTRACTORS + NEAR_MISSES) * copies]:
             texts.append(p)
             y.append(0)
         # The unknown class must also know the templates' words out of place.
@@ -220,7 +251,7 @@ class LicenceModel:
         """doc_id, paragraph (from 0), start, end (characters), family, probability, similarity, confirmed: a row per paragraph of `docs` (doc_id, text) that is predicted to be of a family.
 
         confirmed tells whether the best template of the family has `least_similarity` of its word bigrams in
-        the paragraph. A paragraph is a line, or a run of lines with a wrapped notice: its number is its first line's, its span that of
+        the paragraph, which must also hold one of the family's MARKS and none of the words that others have. A paragraph is a line, or a run of lines with a wrapped notice: its number is its first line's, its span that of
         its lines, and probability and similarity are those of the words from the notice's first to its last. Runs count only if
         confirmed; of overlapping notices that are of one family or rest on the same words, the one most like its template
         counts, or else that of fewer lines. Null, blank and clean texts give no rows; repeated rows repeat theirs.
@@ -339,9 +370,13 @@ class Templates:
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(np.concatenate(self.keys) >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
     @staticmethod
     def _grams(text: str) -> set[tuple[str, ...]]:
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        words = Templates._words(text)
         return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
     def similarity(self, text: str, family: str) -> float:
@@ -350,7 +385,10 @@ class Templates:
 
     def best(self, text: str, family: str) -> tuple[float, set[tuple[str, ...]]]:
         """That share, and the bigrams."""
-        own = self._grams(text)
+        own, words = self._grams(text), set(self._words(text))
+        some, none = MARKS[family]
+        if words.isdisjoint(some) or not words.isdisjoint(none):
+            return 0.0, set()
         most = max(self.grams[family], key=lambda g: len(g & own) / len(g))
         return len(most & own) / len(most), most & own
 

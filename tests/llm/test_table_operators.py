@@ -345,6 +345,23 @@ def test_wrapped_licences(spark):
                 assert "Permission is hereby granted" in own and "without restriction" in own
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_licences_that_are_near_others(spark):
+    model = LicenceModel.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = [(1, "".join(f"# {x}\n" for x in GPL.split("\n"))), (2, "/*\n" + "".join(f" * {x}\n" for x in GPL.split("\n")) + " */"), (3, "Licensed under the Apache License, Version 2.0.")]
+    rows += [(10, "Licensed under the Eclipse Public License, version 2.0."), (11, "Licensed under CC BY-ND 4.0."), (12, "This work is licensed under the GNU Affero General Public License, version 3."), (13, "Licensed under CC BY-NC-SA 4.0."), (14, "Dual licence under the Python License, Version 2.0.")]
+    found = model.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("confirmed").collect()
+    assert sorted((r.doc_id, r.family) for r in found) == [(1, "GPL"), (2, "GPL"), (3, "Apache-2.0")]
+    assert model.scan(spark.createDataFrame([(3, rows[2][1], "x", 1.0)], "doc_id long, text string, family string, probability double")).where("confirmed").count() == 1
+    assert LicenceModel.fit(spark.createDataFrame([], "doc_id long, text string")).scan(spark.createDataFrame(rows[2:3], "doc_id long, text string")).where("confirmed").count() == 1
+
+
 def test_licences_of_a_table(spark):
     notices = ("Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
