@@ -30,7 +30,9 @@ def format_conversations(rows: DataFrame, train_role: str = "assistant") -> Data
     fixed order; null roles and texts count as empty; a null conv_id is a conversation; no rows give no result. A
     conversation is one row of the result, so it must fit in memory; its rows are gathered once.
     """
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text")))).alias("turns"))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", *[F.coalesce(x, F.lit("")).alias(x) for x in ("role", "text")]))).alias("turns"))
+    # Sorted as they are, and escaped after that.
+    turns = turns.select("conv_id", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     n = F.size("turns")
     at = lambda i: F.get(F.col("turns"), i)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
