@@ -1,13 +1,14 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
-A block of vectors is indexed by dimension: each dimension's postings, in order of value, are cut into
-segments of one quantised impact. For a query, segments of all dimensions are processed by descending
-impact (query value times the segment's bound), and each adds its exact products to the accumulators.
-What a vector can still gain is bounded, dimension by dimension, by the next segment's bound. A vector whose
-bound is below the k-th best exact score so far can't be in the result; once that is proven of three in
-four, processing stops, and the possible members that are left are rescored exactly.
+A block of vectors is indexed by dimension: components are quantised to levels, and a segment holds a dimension's
+postings of one level. For a query, a segment's impact is the largest product that its level allows. Segments of all
+dimensions are processed by descending impact, each once: it adds its impact to the accumulators of its members, and
+counts them. What is left of a vector then has products of at most the next impact, which bounds its score. A vector
+whose bound is below the k-th best exact score so far can't be in the result. Processing stops once that is proven of
+all but a few, and these possible members are rescored exactly.
 """
 
+
 from __future__ import annotations
 
 import numpy as np
@@ -18,43 +19,62 @@ from pyspark.sql.window import Window
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors."""
+    """Postings of a block of integer vectors, in segments of one quantised value."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 8):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 128):
         self.ids, self.x = ids, vectors.astype(np.float64)  # exact up to 2**53
-        n, self.dims = vectors.shape
-        #: By dimension, members in order of value, and the values.
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.intp))
-        self.value = np.take_along_axis(np.ascontiguousarray(self.x.T), self.order, 1)
-        #: Segment s of a dimension holds places cut[s] to cut[s + 1] of its order.
-        self.cut = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(np.int64))
-        self.low, self.high = self.value[:, self.cut[:-1]], self.value[:, self.cut[1:] - 1]
-
-    def top(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        self.dims = vectors.shape[1]
+        low, high = self.x.min(axis=0), self.x.max(axis=0)
+        width = np.floor((high - low) / levels) + 1
+        level = np.minimum((self.x - low) // width, levels - 1).astype(np.int64)
+        #: By dimension, members in order of level.
+        self.order = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T)
+        sizes = np.bincount((level + levels * np.arange(self.dims)).ravel(), minlength=self.dims * levels).reshape(-1, levels)
+        #: Segment s of a dimension holds places cut[s] to cut[s + 1] of its order, and values from least[s] to most[s].
+        self.cut = np.concatenate([np.zeros((self.dims, 1), np.int64), np.cumsum(sizes, axis=1)], axis=1)
+        self.least = low[:, None] + np.arange(levels) * width[:, None]
+        self.most = np.minimum(self.least + width[:, None] - 1, high[:, None])
+        self.most[:, -1] = high
+        #: The share of the last query's postings that were processed, and the number of vectors that were rescored.
+        self.processed, self.rescored = 0.0, 0
+
+    def top(self, q: np.ndarray, own: int, k: int, floor: float = -np.inf, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of at least the k best whose score is `floor` or more; `own` is left out."""
-        n, s = len(self.ids), len(self.cut) - 1
-        bound = np.maximum(self.low * q[:, None], self.high * q[:, None])  # of a segment's products
-        dim = np.argsort(-bound, axis=None, kind="stable") // s
-        # A dimension's segments come in order of value: from the top where the query is positive, else from the bottom.
+        n, levels = len(self.ids), self.cut.shape[1] - 1
+        # A dimension's impacts fall from its highest level where the query is positive, else from its lowest.
         falls = q >= 0
-        every = np.arange(self.dims)
-        possible = np.flatnonzero(self.ids != own)
+        turned = falls[:, None]
+        impact = q[:, None] * np.where(turned, self.most[:, ::-1], self.least)
+        ends = np.where(turned, n - self.cut[:, ::-1], self.cut)
+        sizes = np.diff(ends, axis=1)
+        every, segment = np.arange(self.dims), np.arange(levels)
         took = np.zeros(self.dims, np.int64)
-        for a, b in _steps(len(dim)):
-            took = took + np.bincount(dim[a:b], minlength=self.dims)
-            # What a dimension's next segment allows bounds all that it still holds.
-            rest = np.where(took < s, bound[every, np.clip(np.where(falls, s - 1 - took, took), 0, s - 1)], 0.0)
-            upper = np.full(n, rest.sum())
-            for d in np.flatnonzero(took).tolist():
-                low, high = (self.cut[s - took[d]], n) if falls[d] else (0, self.cut[took[d]])
-                upper[self.order[d, low:high]] += q[d] * self.value[d, low:high] - rest[d]
-            upper = upper[possible]
+        total, count = np.zeros(n), np.zeros(n, np.int64)  # of a vector's processed segments: the sum of impacts, and how many
+        possible = np.flatnonzero(self.ids != own)
+        for least in _thresholds(np.abs(impact).max(), steps):
+            now = (impact >= least).sum(axis=1)
+            a, b = ends[every, took], ends[every, now]
+            dims = np.flatnonzero(b > a)
+            if not len(dims):
+                took = now
+                continue
+            parts = [self.order[d, n - b[d] : n - a[d]][::-1] if falls[d] else self.order[d, a[d] : b[d]] for d in dims.tolist()]
+            parts = np.concatenate(parts)
+            new = (segment >= took[:, None]) & (segment < now[:, None])
+            total += np.bincount(parts, np.repeat(impact[new], sizes[new]), n)
+            count += np.bincount(parts, minlength=n)
+            took = now
+            # Dimensions that were begun allow each vector not yet met in them the next impact, the others their first.
+            begun, left = took > 0, (took > 0) & (took < levels)
+            rest = impact[left, took[left]].max() if left.any() else 0.0
+            upper = (total + rest * (begun.sum() - count) + impact[~begun, 0].sum())[possible]
             if len(possible) > k:
                 best = possible[np.argpartition(-upper, k - 1)[:k]]
-                floor = max(floor, (self.x[best] @ q).min())
+                floor = max(floor, np.min(self.x[best] @ q))
             possible = possible[upper >= floor]
-            if len(possible) <= max(4 * k, n // 4):
+            if len(possible) <= max(4 * k, n // 32):
                 break
+        self.processed, self.rescored = ends[every, took].sum() / max(1, n * self.dims), len(possible)
         score = self.x[possible] @ q
         if len(score) > k:
             floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
@@ -62,35 +82,36 @@ class ImpactIndex:
         return self.ids[possible[keep]], score[keep]
 
 
-def _steps(n: int) -> list[tuple[int, int]]:
-    """Segments processed between two looks at the bounds, which tell little before about half of them."""
-    at = [0, *sorted({max(1, n * p // 100) for p in (48, 60, 75)}), n]
-    return [(a, b) for a, b in zip(at, at[1:], strict=False) if a < b]
+def _thresholds(peak: float, steps: int) -> list[float]:
+    """Impacts down to which segments are processed before each look at the bounds; closer together near 0, where most postings are."""
+    return [peak * s * abs(s) / steps**2 for s in range(steps - 1, -steps, -1)] + [-np.inf]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 16_384, query_block: int = 8_192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products, ties to the smaller vec_id.
 
     vectors, queries: vec_id, embedding. A component x counts as floor(scale * x). All of a query's candidates are the
-    vectors of another vec_id (all, if fewer than k). Vectors that are null, empty, of another length than most queries' (the
-    smallest, if tied), without a vec_id, or that hold null or non-finite components take no part on either side; other
+    vectors of another vec_id (all, if fewer than k). Of vectors of different lengths the shorter one goes on with zeros. Vectors that
+    are null, without a vec_id, or that hold null or non-finite components take no part on either side; other
     columns are ignored; vectors that repeat a vec_id count each; query rows equal in vec_id and components are one query, and others that
     repeat a vec_id have a result each; without vectors or queries there is no result. Queries are sent to the tasks in blocks of
-    `query_block`, and tasks index blocks of `block` vectors, so memory is bounded; scores must stay below 2**53.
+    about `query_block`, and tasks index blocks of `block` vectors, fewer where vectors are long, so memory is bounded; scores must stay
+    below 2**53.
     """
     spark = vectors.sparkSession
     vectors, queries = (_usable(df, scale) for df in (vectors, queries))
-    lengths = queries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    queries = queries.dropDuplicates(["vec_id", "v"])
+    asked, dims = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     schema = "query long, query_id long, vec_id long, score long"
-    if lengths is None:
+    if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = lengths.d
-    queries, vectors = queries.where(F.size("v") == dims).dropDuplicates(["vec_id", "v"]), vectors.where(F.size("v") == dims)
-    blocks = -(-queries.count() // query_block)
+    dims = max(1, dims)
+    block = max(1, min(block, (1 << 20) // dims))
+    blocks = -(-asked // max(1, min(query_block, (1 << 19) // dims)))
     found = None
     for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
-        sent = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), np.array(mine["v"].tolist(), np.float64).reshape(-1, dims)))
+        mine = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).toPandas()
+        sent = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), _matrix(pa.array(mine["v"], pa.list_(pa.int64())), dims).astype(np.float64)))
         part = vectors.mapInArrow(_search(sent, dims, k, block, b << 32), schema)
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
@@ -99,10 +120,22 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
 
 def _usable(df: DataFrame, scale: int) -> DataFrame:
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite)
+    df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
+def _matrix(v: pa.ListArray, dims: int) -> np.ndarray:
+    """A row of `dims` components for each list: longer ones are cut, as no query has more, and shorter ones go on with zeros."""
+    flat, lengths = v.flatten().to_numpy(), v.value_lengths().to_numpy()
+    if (lengths == dims).all():
+        return flat.reshape(-1, dims)
+    out = np.zeros((len(lengths), dims), np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row[at < dims], at[at < dims]] = flat[at < dims]
+    return out
+
+
 def _search(sent, dims: int, k: int, block: int, number: int):
     """Finds the best of each query sent; queries are numbered from `number`."""
 
@@ -115,8 +148,7 @@ def _search(sent, dims: int, k: int, block: int, number: int):
         def work():
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            x = table.column("v").chunk(0).flatten().to_numpy().reshape(-1, dims)
-            index = ImpactIndex(table.column("vec_id").to_numpy(), x)
+            index = ImpactIndex(table.column("vec_id").to_numpy(), _matrix(table.column("v").chunk(0), dims))
             for i in range(len(ids)):
                 best[i].append(index.top(q[i], ids[i], k, floor[i]))
                 vec, score = (np.concatenate([p[j] for p in best[i]]) for j in range(2))

@@ -122,6 +122,9 @@ def test_chat_awkward_rows(spark):
     assert got[None] == [("", "")]
     assert got[1] == [("user", "q"), ("assistant", "a"), ("assistant", "a"), ("assistant", "b")]
     assert got[2] == [("user", "z" * 200_000)]
+    ties = [(3, 1, role, text) for role in ("<|", "<a") for text in ("<|b", "<a", "<\\|")]
+    got = format_conversations(spark.createDataFrame(ties, schema)).select(read_turns(F.col("formatted")).alias("t")).first()
+    assert [(t.role, t.text) for t in got.t] == sorted(x[2:] for x in ties)
 
 
 def check_captures(df, rows):
@@ -211,6 +214,30 @@ def test_index_stops_only_on_proof():
             assert sorted((-int(s), int(d)) for s, d in zip(score, vec, strict=True))[:k] == every
 
 
+def test_index_leaves_postings_unprocessed():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 16))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    index = ImpactIndex(np.arange(8000), x)
+    shares = []
+    for i in range(20):
+        index.top(x[i].astype(float), i, 10)
+        shares.append(index.processed)
+        assert 10 <= index.rescored <= 8000 // 32
+    assert max(shares) < 0.9 and sum(shares) / 20 < 0.7
+
+
+@pytest.mark.parametrize("x", [np.zeros((50, 3)), np.array([[7, -(2**24)]] * 9 + [[2**20, 3]]), np.array([[-5, 1]]), np.arange(60).reshape(30, 2) - 30])
+def test_index_of_odd_values(x):
+    x = x.astype(np.int64)
+    index = ImpactIndex(np.arange(len(x)), x)
+    for q in (x[0], x[-1], -x[0], 0 * x[0]):
+        for own in (0, -1):
+            vec, score = index.top(q.astype(float), own, 4)
+            every = sorted((-int(s), d) for d, s in enumerate(x @ q) if d != own)[:4]
+            assert sorted((-int(s), int(d)) for s, d in zip(score, vec, strict=True))[:4] == every
+
+
 @pytest.mark.parametrize("settings", [{}, {"block": 7, "query_block": 3}])
 def test_top_k_of_awkward_rows(spark, settings):
     rng = random.Random(6)
@@ -218,13 +245,17 @@ def test_top_k_of_awkward_rows(spark, settings):
     odd = [(100, None), (200, []), (300, [1.0, None, 0.0, 0.0, 0.0]), (400, [math.nan] * 5), (500, [math.inf] * 5), (600, [1.0] * 3), (None, [1.0] * 5)]
     df = spark.createDataFrame([(i, v, "x") for i, v in good + odd], "vec_id long, embedding array<float>, score string").repartition(3)
     got = exact_top_k(df, df.where("vec_id % 10 = 0"), k=10, **settings).collect()
-    v = {i: [math.floor(1024 * float(np.float32(x))) for x in e] for i, e in good}
+    # Shorter vectors, the empty one included, go on with zeros.
+    v = {i: [math.floor(1024 * float(np.float32(x))) for x in e] + [0] * (5 - len(e)) for i, e in [*good, (200, []), (600, [1.0] * 3)]}
     want = []
     for q in (i for i in v if i % 10 == 0):
         best = sorted((-sum(a * b for a, b in zip(v[q], v[d], strict=True)), d) for d in v if d != q)[:10]
         want += [(q, r, d, -s) for r, (s, d) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert exact_top_k(df.limit(0), df.limit(0)).collect() == []
+    # Components beyond those of all queries count for nothing.
+    longer = spark.createDataFrame([(0, [1.0]), (1, [2.0, 9.0]), (2, [3.0, 9.0, 9.0]), (3, [])], "vec_id int, embedding array<double>")
+    assert [tuple(r) for r in exact_top_k(longer, longer.where("vec_id = 0"), scale=1).orderBy("rank").collect()] == [(0, 1, 2, 3), (0, 2, 1, 2), (0, 3, 3, 0)]
     few = df.where("vec_id in (0, 1, 2)")
     assert len(exact_top_k(few, few).collect()) == 6
 
