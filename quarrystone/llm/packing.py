@@ -165,5 +165,7 @@ def pack_documents(
             break
     out = placed.drop("bin_fill")
     if moves is None:
-        return out.withColumnRenamed("bin", "sequence_id")
-    return out.join(moves, "bin", "left").withColumns({"sequence_id": F.coalesce("parent", "bin"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))}).drop("bin", "parent", "shift")
+        out = out.withColumnRenamed("bin", "sequence_id")
+    else:
+        out = out.join(moves, "bin", "left").withColumns({"sequence_id": F.coalesce("parent", "bin"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))})
+    return out.select(*pieces.columns, "sequence_id", "offset")

@@ -426,6 +426,30 @@ def test_pipeline_stages(spark):
     assert stages["near_dedup"](spark, repeated, sf).count() == kept.count()
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    calm = "a calm walk along the river with a friend and a small dog on a bright morning"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, number string, digest string, text_ string, Score string"
+    odd = [(9001, None), (9002, ""), (9003, calm), (9003, calm), (9004, calm), (None, calm + " again"), (9005, "word " * 30_000), (9006, "\n \t")]
+    odd = spark.createDataFrame([(i, t, None, None, None, "x", None, "y", "z") for i, t in odd], schema)
+    own = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80")
+    for name, docs in (("rows", own.unionByName(odd, allowMissingColumns=True)), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for x in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{x}.parquet").write.parquet(f"{tmp_path}/{name}/{x}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/rows")
+    pieces = [(r.doc_id, r.piece, r.length) for r in out.select("doc_id", "piece", "length").collect()]
+    assert len({(d, p) for d, p, _ in pieces}) == len(pieces)
+    ids = {d for d, _, _ in pieces}
+    assert {9001, 9002, 9003, 9005, 9006, None} <= ids and 9004 not in ids
+    assert [n for d, _, n in pieces if d in (9001, 9002)] == [1, 1]
+    assert sum(n for d, _, n in pieces if d == 9005) > 30_000
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.columns == out.columns and none.count() == 0
+
+
 def test_pipeline_tells_texts_of_one_doc_id_apart(spark):
     import corpus_pipeline
 
