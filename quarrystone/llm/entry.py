@@ -116,6 +116,58 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all whole texts, and the texts that the ids give."""
+    from quarrystone.llm.pieces import decode_ids, encode_texts
+
+    out = decode_ids(encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.array_join("ids", ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-part codes of all vectors, with what they lose by vector and by label."""
+    from quarrystone.llm.codes import compress_vectors
+    from quarrystone.llm.work import Work
+
+    codes, books = compress_vectors(read(spark, sf_dir, "embeddings"))
+    codes = Work(spark, "vector-codes").put(codes, "codes")
+    by_label = codes.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    out = codes.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents in each of their 120 orders."""
+    from quarrystone.llm.audit import audit
+
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """The rounds written out: each assigns parts to their nearest entries, then takes the floors of means."""
+    nearest = """SELECT n, part, y, min((list_inner_product(y, y) - 2 * list_inner_product(y, c) + list_inner_product(c, c))::BIGINT * 256 + e) AS best
+                 FROM p JOIN c{0} USING (part) GROUP BY n, part, y"""
+    refine = """a{1} AS MATERIALIZED (""" + nearest + """),
+        m{1} AS (SELECT part, e, list((((s - (s % k + k) % k) // k)::BIGINT)::DOUBLE ORDER BY pos) AS c FROM (
+                     SELECT part, best % 256 AS e, pos, sum(y[pos]::BIGINT) AS s, count(*) AS k FROM a{1}, (SELECT unnest(range(1, 17)) AS pos) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        c{1} AS MATERIALIZED (SELECT part, e, coalesce(m{1}.c, c{0}.c) AS c FROM c{0} LEFT JOIN m{1} USING (part, e)),"""
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS n FROM (
+                SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+        ),
+        p AS MATERIALIZED (SELECT n, part, x[1 + 16 * part : 16 * part + 16] AS y FROM v, (SELECT unnest(range(4)) AS part)),
+        c0 AS MATERIALIZED (SELECT part, n - 1 AS e, y AS c FROM p WHERE n <= 256),
+        {"".join(refine.format(r, r + 1) for r in range(rounds))}
+        f AS MATERIALIZED ({nearest.format(rounds)}),
+        r AS (SELECT n, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM f GROUP BY n)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256
+        FROM r JOIN v USING (n)"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -127,6 +179,9 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {
     "op3_near_duplicates": r"""
@@ -199,4 +254,30 @@ ORACLE_SQL = {
                CASE WHEN number = 1 THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN number > 1 THEN holder END AS refers_to, page_id AS request_of, page_id AS metadata_of
         FROM b""",
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), f AS (
+            SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+                                  regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+            FROM d
+        ), l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        k AS MATERIALIZED (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        i AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        x AS (SELECT *, coalesce(list_position(list_transform(o, lambda j: f[j]), true), 0) AS first FROM k, o),
+        s AS (
+            SELECT part, o, i AS step, sum(n) FILTER (first = 0 OR first > i) AS kept, sum(n) FILTER (first = i) AS removed, sum(n) FILTER (f[o[i]] AND first < i) AS redundant,
+                   sum(n) FILTER (f[o[i]] AND len(list_filter(f, lambda b: b)) = 1) AS unique_fails,
+                   sum(n) FILTER (first = i AND good) AS good_lost, sum(n) FILTER (first = i AND toxic) AS toxic_lost
+            FROM x, i GROUP BY part, o, i
+        )
+        SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, step::INT AS step,
+               coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, o[step]), 0)::BIGINT AS shapley
+        FROM s""",
 }
