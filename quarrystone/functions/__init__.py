@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,20 @@ def dot(a: str, b: str) -> Column:
 def utc(name: str) -> Column:
     """An instant as a timestamp without zone, of its time in UTC whatever the session's zone."""
     return F.expr(f"timestampadd(MICROSECOND, unix_micros({name}), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time (without a zone: as if in UTC) or a date; whole numbers as they are."""
+    kind, c = df.schema[name].dataType.typeName(), F.col(f"`{name}`")
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01")).cast("long") * 86_400_000_000
+    return c.cast("long")
+
+
+def at_micros(name: str) -> Column:
+    """The time without a zone at a number of microseconds since 1970."""
+    return F.expr(f"timestampadd(MICROSECOND, `{name}`, TIMESTAMP_NTZ '1970-01-01 00:00:00')")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,24 +13,7 @@ from quarrystone.operators.asof import asof_join
 from quarrystone.operators.percentile import exact_percentile
 from quarrystone.operators.sessions import sessionize
 from quarrystone.operators.topk import top_per_group
-from quarrystone.sources import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, table reader) by its name, with the SQL of its result."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: table(spark, sf_dir, name))
-        QUERIES[f.__name__].__doc__ = f.__doc__
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from quarrystone.plans.registry import ORACLE_SQL, query, streamed
 
 @query("""SELECT l_returnflag, l_linestatus,
           CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS sum_qty,
@@ -164,11 +145,6 @@ def above_average(spark, t):
     return t("orders").join(mean, F.col("o_custkey") == F.col("k")).where("o_totalprice > mean").select("o_orderkey")
 
 
-@query("""WITH RECURSIVE r(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r""")
-def recursive_query(spark, t):
-    return spark.sql("WITH RECURSIVE r(n, f) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r")
-
-
 @query("""SELECT p.event_id, v.event_id AS event_id_asof FROM (SELECT * FROM events WHERE event_type = 'purchase') p
           ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def last_view_before_purchase(spark, t):
@@ -294,60 +270,47 @@ def page_titles(spark, t):
     return html_text(t("pages").select("page_id", "html")).select("page_id", "title", "links")
 
 
-def streamed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling windows over a stream."""
-    out = streaming.drain(streaming.tumbling_counts(streaming.event_stream(spark, sf_dir)))
-    return out.withColumn("start", utc("start"))
-
+def closed(spark: SparkSession, sf_dir: str):
+    return streaming.with_closing(streaming.event_stream(spark, sf_dir))
 
-QUERIES["streamed_hourly_events"] = streamed_hourly_events
-ORACLE_SQL["streamed_hourly_events"] = ORACLE_SQL["hourly_events"]
 
-
-def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session windows over a stream."""
-    out = streaming.drain(streaming.session_counts(streaming.event_stream(spark, sf_dir)))
-    return out.withColumn("start", utc("start"))
+@streamed(ORACLE_SQL["hourly_events"])
+def streamed_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over a stream, each given once it is over."""
+    stream, close = closed(spark, sf_dir)
+    out = streaming.drain(streaming.tumbling_counts(stream), "append", close)
+    return out.select(utc("start").alias("start"), "event_type", "n")
 
 
-QUERIES["streamed_sessions"] = streamed_sessions
-ORACLE_SQL["streamed_sessions"] = """
+@streamed("""
     WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM g)
-    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session"""
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows over a stream, each given once it is over."""
+    stream, close = closed(spark, sf_dir)
+    out = streaming.drain(streaming.session_counts(stream), "append", close)
+    return out.select("user_id", utc("start").alias("start"), "n")
 
 
+@streamed("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def streamed_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct events of a stream, deduplicated within the watermark, counted by type."""
     out = streaming.drain(streaming.first_of_each(streaming.event_stream(spark, sf_dir), ["event_id"]).select("event_id", "event_type"), mode="append")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES["streamed_distinct_events"] = streamed_distinct_events
-ORACLE_SQL["streamed_distinct_events"] = "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1"
-
-
+@streamed(ORACLE_SQL["sliding_events"])
 def streamed_sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows over a stream."""
-    out = streaming.drain(streaming.tumbling_counts(streaming.event_stream(spark, sf_dir), width="2 hours", slide="1 hour"))
-    return out.withColumn("start", utc("start"))
-
-
-QUERIES["streamed_sliding_events"] = streamed_sliding_events
-ORACLE_SQL["streamed_sliding_events"] = ORACLE_SQL["sliding_events"]
+    """Sliding windows over a stream, each given once it is over."""
+    stream, close = closed(spark, sf_dir)
+    out = streaming.drain(streaming.tumbling_counts(stream, width="2 hours", slide="1 hour"), "append", close)
+    return out.select(utc("start").alias("start"), "event_type", "n")
 
 
+@streamed("""
+    SELECT user_id, count(*) AS n, sum(round(coalesce(value, 0) * 100)::BIGINT)::BIGINT AS cents FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY 1""")
 def streamed_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of a custom processor: each user's purchases so far."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streaming.ROCKS)
-    try:
-        out = streaming.drain(streaming.purchases(streaming.event_stream(spark, sf_dir)), mode="update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = streaming.drain(streaming.purchases(streaming.event_stream(streaming.stateful_session(spark), sf_dir)), "update", spark=spark)
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("cents", "batch").alias("cents"))
-
-
-QUERIES["streamed_purchases"] = streamed_purchases
-ORACLE_SQL["streamed_purchases"] = """
-    SELECT user_id, count(*) AS n, sum(round(coalesce(value, 0) * 100)::BIGINT)::BIGINT AS cents FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY 1"""

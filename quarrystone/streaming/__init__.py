@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quarrystone.storage import shared_folder
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -63,26 +62,52 @@ def purchases(stream: DataFrame) -> DataFrame:
     return bought.groupBy("user_id").transformWithStateInPandas(Purchases(), StructType([StructField(x, LongType()) for x in ("user_id", "n", "cents")]), "Update", "None")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names. Where it is unset (local tests), one of this process."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quarrystone-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: No event is as late in time as this (pandas ends in 2262); a row that is closes all windows, sessions and joins before it.
+CLOSING = "2250-01-01 00:00:00"
+
+
+def _closing() -> Column:
+    return F.lit(CLOSING + "Z").cast("timestamp")
+
+
+def with_closing(stream: DataFrame, on: str = "ts", **values: object) -> tuple[DataFrame, Callable[[], None]]:
+    """(the stream and a source that is empty so far, a function that puts a row into it with the time CLOSING in `on`, `values` and else nulls).
+
+    What an append-mode query holds back for rows that could still come is given once the closing row has been read; see `drain`. Conditions on the
+    stream must let the row pass (`or_closing`) up to the watermark; keys that the stream is joined by must be among `values`, as Spark leaves rows with null keys out early.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/closing_{uuid.uuid4().hex}"
+    row = spark.range(1).select(*[(_closing() if f.name == on else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name) for f in stream.schema])
+    row.limit(0).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), lambda: row.write.mode("append").parquet(path)
+
+
+def or_closing(condition: str, on: str = "ts") -> Column:
+    return F.expr(condition) | (F.col(on) >= _closing())
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that custom processors need; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return own
 
 
-def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+def drain(df: DataFrame, mode: str = "complete", close: Callable[[], None] | None = None, spark: SparkSession | None = None) -> DataFrame:
     """All that the stream yields from what is there now, as a Parquet table in the shared folder, written by the executors.
 
-    In complete mode the last batch's result; else each batch's rows, with batch. A batch that is run again replaces what it wrote.
+    In complete mode the last batch's result; else each batch's rows, with batch. A batch that is run again replaces what it wrote. With `close`, the query is started
+    once more, from its checkpoint, after `close` has been called. The table is one of `spark`, by default the stream's session.
     """
-    spark = df.sparkSession
+    own = df.sparkSession
+    spark = spark or own
     base = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
-    empty = spark.createDataFrame([], df.schema)
+    empty = own.createDataFrame([], df.schema)
     empty = empty if mode == "complete" else empty.withColumn("batch", F.lit(0).cast("long"))
 
     def put(batch: DataFrame, number: int) -> None:
@@ -90,6 +115,8 @@ def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
         (batch if mode == "complete" else batch.withColumn("batch", F.lit(number).cast("long"))).write.mode("overwrite").parquet(at)
 
     empty.write.parquet(f"{base}/out" if mode == "complete" else f"{base}/out/none")
-    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for before in (None, close) if close else (None,):
+        if before:
+            before()
+        df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(empty.schema).parquet(f"{base}/out" if mode == "complete" else f"{base}/out/*")

@@ -56,6 +56,12 @@ def test_sessions(spark):
     assert [r.session for r in sessionize(df, ["u"], "ts", "1 HOUR").orderBy("u", "ts").collect()] == [1, 1, 2, 1]
 
 
+def test_rows_without_a_time_are_in_no_session(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, null), (1, null), (1, TIMESTAMP '2024-01-01 01:00:00'), (1, TIMESTAMP '2024-01-01 01:00:00'), (1, TIMESTAMP '2024-01-01 03:00:00'), (2, null) AS t(u, ts)")
+    assert [r.session for r in sessionize(df, ["u"], "ts", "1 HOUR").orderBy("u", "ts").collect()] == [None, None, 1, 1, 2, None]
+    assert sessionize(df.limit(0), ["u"], "ts", "1 HOUR").collect() == []
+
+
 def test_top_per_group_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g int, x int")
     assert top_per_group(df, ["g"], [F.desc("x")], 2).collect() == []

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF
 
-from quarrystone.plans.relational import ORACLE_SQL, QUERIES
+from quarrystone.plans import ORACLE_SQL, QUERIES
 
 
 def rows(columns, data):

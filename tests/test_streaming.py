@@ -40,7 +40,7 @@ def test_repeats_within_the_watermark_are_dropped(spark, tmp_path):
 def test_stream_times_are_utc_in_any_zone(spark):
     from conftest import SF
 
-    from quarrystone.plans.relational import QUERIES
+    from quarrystone.plans import QUERIES
 
     want = sorted(map(tuple, QUERIES["streamed_hourly_events"](spark, SF).collect()))
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
