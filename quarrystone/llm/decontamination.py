@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm import text as T
+from quarrystone.llm.work import Work
 
 #: Places of each mask that count.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -48,7 +49,7 @@ def seeds(h: np.ndarray, first: np.ndarray, mask: tuple[int, ...], salt: int) ->
 class Items:
     """Benchmark items as tokens, and their seeds in order of hash; `masks` are those in use, with their salts."""
 
-    def __init__(self, ids: list[int], texts: list[str], short: bool = False):
+    def __init__(self, ids: list[int], texts: list[str], short: bool = False, least_tokens: int = 1):
         table = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
         hashes, count = [np.zeros(0, np.uint64)], []
         for _, data, offsets in T.chunks(table):
@@ -63,7 +64,7 @@ class Items:
         parts = [seeds(self.tokens, self.first, m, salt) for m, salt in self.masks]
         size, begin = np.diff(self.first), self.first[:-1]
         some = begin[(size >= SHORTEST) & (size < WINDOW)]
-        for n, places in [*[(n, begin[size == n]) for n in range(1, SHORTEST)], (HALF, np.concatenate([some, some + HALF]))] if short else ():
+        for n, places in [*[(n, begin[size == n]) for n in range(max(1, least_tokens), SHORTEST)], (HALF, np.concatenate([some, some + HALF]))] if short else ():
             if len(places):
                 self.masks.append((tuple(range(n)), len(MASKS) + len(self.masks)))
                 key, at = seeds(self.tokens, self.first, *self.masks[-1])
@@ -182,34 +183,38 @@ class Items:
         return np.stack([text[good][at], item[row[good][at]], best, total_equal, low, high], 1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000, short: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_tokens: int = 500_000, short: bool = False, least_tokens: int = 1) -> DataFrame:
     """doc_id, item_id, best_window, equal_tokens, start, end (characters): the overlaps of documents with benchmark items, a row per pair and its best alignment.
 
     Tokens are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. A pair counts if some
     aligned 13 tokens of both agree in 11 or more. With `short`, an item of 8 to 12 tokens may have one replaced (as
     2 of 13, rounded down), and a shorter one must occur whole, even one of a single token; without, one of 8 to 12
-    must occur whole, and a shorter one is not looked for. Items are sent to the tasks as arrays of at most about `block_tokens` tokens; a larger benchmark is
-    dealt into blocks by a hash of its texts, and the documents are scanned once for each. Null or blank texts have
-    no overlaps; rows that repeat a doc_id give one row per item.
+    must occur whole, and a shorter one is not looked for. Items of fewer than `least_tokens` tokens are not looked for in either case: a corpus
+    may well hold the words of very short ones by chance. Distinct texts of items are sent to the tasks as arrays of at most about `block_tokens` tokens; a larger benchmark is
+    dealt into blocks by a hash of its texts, and the documents are scanned once for each. Items without an id or text have no overlaps, nor have null or blank
+    documents; rows that repeat a doc_id, those without one among them, give one row per item.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no token is shorter than a character and a gap
+    # A text that many items have is sent once.
+    texts = Work(spark, "decontamination").put(items.select("text").distinct().withColumn("number", F.monotonically_increasing_id()), "texts")
+    size = texts.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no token is shorter than a character and a gap
     blocks = max(1, math.ceil(size / block_tokens))
     found = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], short))
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.trimmed(_scan(sent)), "doc_id long, item_id long, best_window long, equal_tokens long, start long, end long")
+        rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text").collect()
+        sent = spark.sparkContext.broadcast(Items([r.number for r in rows], [r.text for r in rows], short, least_tokens))
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(T.trimmed(_scan(sent)), "doc_id long, number long, best_window long, equal_tokens long, start long, end long")
         found = part if found is None else found.union(part)
     best = F.max(F.struct("best_window", "equal_tokens", (-F.col("start")).alias("s"), "end")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.best_window", "m.equal_tokens", (-F.col("m.s")).alias("start"), "m.end")
+    found = found.groupBy("doc_id", "number").agg(best).join(texts.join(items, "text").select("number", "item_id"), "number")
+    return found.select("doc_id", "item_id", "m.best_window", "m.equal_tokens", (-F.col("m.s")).alias("start"), "m.end")
 
 
 def _scan(sent):
     def run(batches):
         items = sent.value
-        names = ["doc_id", "item_id", "best_window", "equal_tokens", "start", "end"]
+        names = ["doc_id", "number", "best_window", "equal_tokens", "start", "end"]
         for batch in batches:
             for rows, data, offsets in T.chunks(batch):
                 w = T.Words(data, offsets, between=T.PUNCTUATION)

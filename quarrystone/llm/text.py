@@ -1,13 +1,14 @@
 """Words and their hashes over Arrow batches of text, without a Python object for each word.
 
 A chunk is a run of whole texts of about CHUNK bytes (more where one text is longer), laid end to
-end as UTF-8 bytes. A word's hash is a difference of prefix sums of byte values times powers of an
-odd number modulo 2**64, then mixed; a null text counts as empty.
+end as UTF-8 bytes; a null text counts as empty. A word is hashed eight bytes at a time, each mixed with what came
+before, so that words of up to eight bytes and one length never collide, and no pattern of letters cancels out.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ import pyarrow as pa
 
 #: Small chunks are as fast as large ones, and a worker that two cores share stays small.
 CHUNK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Longer words are hashed one by one.
+LONG = 64
+#: By a number of bytes: that many of a lane.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,17 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK + 1), base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if len(have) <= 4 * CHUNK:
-            _powers[base] = have
-    return have[:n]
-
-
 def trim() -> None:
     """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
@@ -60,14 +51,8 @@ def trimmed(run: Callable) -> Callable:
     return inner
 
 
-def _values(fold_case: bool) -> np.ndarray:
-    b = np.arange(256, dtype=np.uint64)
-    if fold_case:
-        b[65:91] += np.uint64(32)
-    return mix((b + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-
-
-FOLDED, EXACT = _values(True), _values(False)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 #: Bytes between words: the space and 0x09 to 0x0D.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -79,6 +64,8 @@ PUNCTUATION[[x for x in range(128) if not chr(x).isalnum()]] = True
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): whole texts of about `limit` bytes in all."""
     i = batch.schema.get_field_index(column)
+    if i < 0:
+        raise ValueError(f"one column {column} is needed, not {batch.schema.names}")
     a = batch.column(i)
     if a.null_count:
         a = a.fill_null("")
@@ -95,12 +82,65 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
         at = to
 
 
+class Spans:
+    """Spans of bytes of a chunk: their hashes, and which of them are equal."""
+
+    __slots__ = ("data", "lanes")
+
+    def __init__(self, data: np.ndarray):
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        #: The eight bytes that begin at each place.
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", self.data, 0, (1,))
+
+    def _lane(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.lanes[start] & _LOW[np.minimum(size, 8)]
+
+    def _bytes(self, start: int, end: int) -> bytes:
+        return self.data[start:end].tobytes()
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Equal for equal bytes wherever they stand."""
+        size = end - start
+        h = mix(mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ self._lane(start, size))
+        live = np.flatnonzero(size > 8)
+        at = 8
+        while len(live) and at < LONG:
+            h[live] = mix(h[live] ^ self._lane(start[live] + at, size[live] - at))
+            at += 8
+            live = live[size[live] > at]
+        for i in live.tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self._bytes(start[i], end[i]), digest_size=8).digest(), "little")
+        return h
+
+    def distinct(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(at, of): the places in `start` of spans that hold all distinct ones, and for each span which of them it equals, byte by byte."""
+        size = end - start
+        short = size < 8
+        # A short span with its size is its own key; the others' keys lie beyond those.
+        key = np.where(short, self._lane(start, size) | size.astype(np.uint64) << np.uint64(56), self.hash(start, end) | np.uint64(1 << 63))
+        _, at, of = np.unique(key, return_index=True, return_inverse=True)
+        other = at[of]
+        live = np.flatnonzero(~short & (other != np.arange(len(of))))
+        wrong = [live[size[live] != size[other[live]]]]
+        live = live[size[live] == size[other[live]]]
+        step = 0
+        while len(live) and step < LONG:
+            same = self._lane(start[live] + step, size[live] - step) == self._lane(start[other[live]] + step, size[live] - step)
+            wrong.append(live[~same])
+            step += 8
+            live = live[same & (size[live] > step)]
+        wrong.append(np.array([i for i in live.tolist() if self._bytes(start[i], end[i]) != self._bytes(start[other[i]], end[other[i]])], np.int64))
+        wrong = np.concatenate(wrong)
+        of[wrong] = len(at) + np.arange(len(wrong))
+        return np.concatenate([at, wrong]), of
+
+
 class Words:
-    """Words of a chunk: `start`, `end` (byte places), `hash`, and `first` (each text's first word; one entry more than texts)."""
+    """Words of a chunk, with A-Z folded: `start`, `end` (byte places), `hash`, and `first` (each text's first word; one entry more than texts)."""
 
-    __slots__ = ("start", "end", "hash", "first", "prefix")
+    __slots__ = ("start", "end", "hash", "first", "spans")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK, values: np.ndarray = FOLDED):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANK):
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -109,16 +149,10 @@ class Words:
         inside = ~gap[1:-1]
         self.start = np.flatnonzero(inside & (gap[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside & (gap[2:] | edge[1:])) + 1
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[data] * powers(_BASE, n), out=self.prefix[1:])
+        self.spans = Spans(_FOLD[data]).hash
         self.hash = self.spans(self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the byte spans; equal for equal bytes wherever they stand."""
-        turned = (self.prefix[end] - self.prefix[start]) * powers(_INVERSE, len(self.prefix))[start]
-        return mix(turned + (end - start).astype(np.uint64))
-
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 

@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE over chunks of text.
 
 Pre-tokens of a chunk are found by array operations on code points, each distinct one is encoded once and
-remembered, and ids are gathered by number. That holds for texts of the code points in _CLASS and of
+remembered by its bytes, and ids are gathered by number. That holds for texts of the code points in _CLASS and of
 vocabularies whose ids rank their merges; all other texts go to the tokenizer library itself.
 """
 
@@ -13,12 +13,14 @@ from array import array
 
 import numpy as np
 
+from quarrystone.llm.text import Spans
+
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN, EDGE = 0, 1, 2, 3, 8, 9
 _LIMIT = 0x2060
 _EDGE_AT = _LIMIT + 1
 _EDGE_CODE = 0xFFFFFFFF
-#: Bytes of a cache entry besides its ids: a slot, a key, an object's head.
-_ENTRY = 170
+#: Bytes of a cache entry besides its key and ids: a slot and two objects' heads. Longer pre-tokens are not kept.
+_ENTRY, _KEPT = 180, 256
 _SPACES = {*range(9, 14), 0x20, 0x85, 0xA0}
 
 
@@ -42,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.cache: dict[int, bytes] = {}
+        #: Ids of pre-tokens by their bytes.
+        self.cache: dict[bytes, bytes] = {}
         #: What the cache holds, and may hold, in bytes of Python objects.
         self.held, self.limit = 0, cache_bytes
         spec = json.loads(self.slow.to_str())
@@ -94,7 +97,7 @@ class Encoder:
             if s in text:
                 odd |= {d for d in range(n) if s.encode() in raw[offsets[d] : offsets[d + 1]]}
         start, end = self._bounds(a, kind, edge)
-        ids, count = self._gather(raw, lead, a, start, end, edge)
+        ids, count = self._gather(data, lead, start, end, edge)
         first = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, edge)]
         if odd:
             parts = [ids[first[d] : first[d + 1]] for d in range(n)]
@@ -138,32 +141,27 @@ class Encoder:
         use = kind[at] != EDGE
         return at[use], stop[use]
 
-    def _gather(self, raw: bytes, lead: np.ndarray, a: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        from quarrystone.llm import text as T
-
+    def _gather(self, data: np.ndarray, lead: np.ndarray, start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        base = T._BASE
-        prefix = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum((a.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93) * T.powers(base, len(a)), out=prefix[1:])
-        key = T.mix((prefix[end] - prefix[start]) * T.powers(T._INVERSE, len(a))[start] + (end - start).astype(np.uint64))
-        unique, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        # From places among code points and edges to places among bytes.
+        shift = np.repeat(np.arange(1, len(edge)), np.diff(np.searchsorted(start, edge)))
+        lead = np.append(lead, len(data))
+        low, high = lead[start - shift], lead[end - shift]
+        at, inverse = Spans(data).distinct(low, high)
         if self.held > self.limit:
             self.cache.clear()
             self.held = 0
-        cache, keys = self.cache, unique.tolist()
-        got = [cache.get(k) for k in keys]
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            shift = np.searchsorted(edge, start[at[new]], "right")
-            lead = np.append(lead, len(raw))
-            low, high = lead[start[at[new]] - shift].tolist(), lead[end[at[new]] - shift].tolist()
-            encode = self.piece
-            for i, x, y in zip(new, low, high, strict=True):
-                got[i] = array("I", encode(raw[x:y])).tobytes()
-                if self.held <= self.limit:
+        cache, raw = self.cache, data.tobytes()
+        keys = [raw[x:y] for x, y in zip(low[at].tolist(), high[at].tolist(), strict=True)]
+        got = list(map(cache.get, keys))
+        encode = self.piece
+        for i, x in enumerate(got):
+            if x is None:
+                got[i] = array("I", encode(keys[i])).tobytes()
+                if self.held <= self.limit and len(keys[i]) <= _KEPT:
                     cache[keys[i]] = got[i]
-                    self.held += _ENTRY + len(got[i])
+                    self.held += _ENTRY + len(keys[i]) + len(got[i])
         pool = np.frombuffer(b"".join(got), np.uint32)
         size = np.fromiter(map(len, got), np.int32, len(got)) >> 2
         count = size[inverse]

@@ -95,13 +95,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
     are null, without a vec_id, or that hold null or non-finite components take no part on either side; other
     columns are ignored; vectors that repeat a vec_id count each; query rows equal in vec_id and components are one query, and others that
     repeat a vec_id have a result each; without vectors or queries there is no result. Queries are sent to the tasks in blocks of
-    about `query_block`, and tasks index blocks of `block` vectors, fewer where vectors are long, so memory is bounded; scores must stay
-    below 2**53.
+    about `query_block`, and tasks index blocks of `block` vectors, fewer where vectors are long, so memory is bounded. Scores are exact up to
+    2**53: components whose products could go beyond raise ValueError.
     """
     spark = vectors.sparkSession
     vectors, queries = (_usable(df, scale) for df in (vectors, queries))
     queries = queries.dropDuplicates(["vec_id", "v"])
-    asked, dims = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    asked, dims, peak = queries.agg(F.count("*"), F.max(F.size("v")), largest).first()
+    if asked and (reach := vectors.agg(largest).first()[0]) and dims * (peak or 0) * reach > 2**53:
+        raise ValueError(f"components times {scale} reach {peak} in queries and {reach} in vectors: inner products of {dims} do not fit 53 bits")
     schema = "query long, query_id long, vec_id long, score long"
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarrystone.llm import text as T
+from quarrystone.llm.columns import named
 
 BITS = 20
 #: Bytes of a word's beginnings that are features of their own. Stems of seven letters, or with two-byte letters, need the longer ones.
@@ -78,13 +79,13 @@ class ToxicityModel:
     weights: np.ndarray
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 20_000, epochs: int = 30, l1: float = 1.5e-4, seed: int = 7, holdout: int = 5) -> ToxicityModel:
+    def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 30, l1: float = 1.5e-4, seed: int = 7, holdout: int = 5) -> ToxicityModel:
         """Trains on a bounded sample of labelled rows.
 
         docs: doc_id, text; labels: doc_id, toxic (0 or 1; of several, the largest; null: none). Rows
         with crc32(doc_id as text) mod `holdout` = 0 are never used (0: all are). About `max_rows` rows are drawn by a
-        hash of doc_id, half of each class if there are so many, among texts of at most
-        `max_chars` characters (of those that share a doc_id, the first in order), and weighted back to the classes' shares. `epochs` and
+        hash of doc_id, half of each class if there are so many (of texts that share a doc_id, the first in order), whole, and weighted back to
+        the classes' shares. `epochs` and
         `l1`, the penalty that keeps weights at 0, were chosen by log loss on folds inside the training rows. Without
         labels, or with one class, the model knows only that share.
         """
@@ -97,7 +98,8 @@ class ToxicityModel:
         quota = {y: max(half, max_rows - total.get(1 - y, 0)) for y in (0, 1)}
         share = {y: min(1.0, quota[y] / max(1, total.get(y, 0))) for y in (0, 1)}
         drawn = marked.where(F.when(F.col("y") == 1, draw(share[1])).otherwise(draw(share[0])))
-        rows = docs.select("doc_id", "text").where(draw(max(share.values()))).where(F.length("text") <= max_chars).join(drawn, "doc_id")
+        # About max_rows pairs of numbers: documents stay where they are, and only those drawn move.
+        rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
         rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a doc_id that repeats without end is one row
         table = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
         y = table.column("y").to_numpy().astype(np.int64)
@@ -168,6 +170,7 @@ class ToxicityModel:
         Needs text; other columns are carried along, and columns named score or offending are replaced. A null text counts as empty.
         """
         docs = docs.drop("score", "offending")
+        column = named(docs, "text")
         schema = StructType([*docs.schema.fields, *StructType.fromDDL("score double, offending array<struct<start:int,end:int,score:double>>").fields])
         bias, features, weights = self.bias, self.features, self.weights
 
@@ -175,7 +178,7 @@ class ToxicityModel:
             table = np.zeros(1 << BITS)
             table[features] = weights
             for batch in batches:
-                for rows, data, offsets in T.chunks(batch):
+                for rows, data, offsets in T.chunks(batch, column):
                     s = Sentences(data, offsets)
                     n = len(offsets) - 1
                     # A feature counts once a sentence, as in training; only those with a weight matter.
@@ -199,4 +202,5 @@ class ToxicityModel:
     def keep(self, docs: DataFrame) -> DataFrame:
         """The rows of `docs` that aren't toxic, with their own columns only."""
         names = docs.columns
-        return self.score(docs.toDF(*[f"c{i}" if x != "text" else x for i, x in enumerate(names)])).where("score < 0.5").drop("score", "offending").toDF(*names)
+        text = named(docs, "text")
+        return self.score(docs.toDF(*[f"c{i}" if x != text else "text" for i, x in enumerate(names)])).where("score < 0.5").drop("score", "offending").toDF(*names)

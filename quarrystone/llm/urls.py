@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quarrystone.llm.columns import named, others
+
 _TOKEN = re.compile("[a-z0-9\x80-\U0010ffff]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -166,24 +168,27 @@ def judge_urls(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | None
     """`pages` (url and any others) with host, path, rule, pattern and verdict; columns of these names are replaced.
 
     rule is the longest of `rules` that fits (null: none), pattern the longest of `patterns` (by default, FILTERS). The verdict
-    is the rule's action, else the pattern's, else `otherwise`. A null URL, or one without `://`, has an empty host and path. Rules
+    is the rule's action, else the pattern's, else `otherwise`. Names are matched as Spark matches them. A null URL, or one without `://`, has an empty host and path. Rules
     are sent to the tasks `block_rules` at a time, and each block is one more narrow pass, so their number has no limit.
     """
     patterns = filter_rules(FILTERS) if patterns is None else patterns
     context = pages.sparkSession.sparkContext
-    out = pages.drop("host", "path", "rule", "pattern", "verdict")
-    names = out.columns
+    url = named(pages, "url")
+    names = others(pages, "host", "path", "rule", "pattern", "verdict")
+    out = pages.select(*[f"`{x}`" for x in names])
+    # Names of our own that no column has.
+    mark = "__" + "_" * max(map(len, names))
     added = ["host", "path", "rule", "pattern", "rule_action", "pattern_action"]
-    schema = StructType([*out.schema.fields, *[StructField(f"__{x}", StringType()) for x in added]])
-    out = out.select("*", *[F.lit(None).cast("string").alias(f"__{x}") for x in added])
+    schema = StructType([*out.schema.fields, *[StructField(mark + x, StringType()) for x in added]])
+    out = out.select("*", *[F.lit(None).cast("string").alias(mark + x) for x in added])
     every = [("rule", r) for r in rules] + [("pattern", r) for r in patterns]
     for a in range(0, max(1, len(every)), block_rules):
         block = every[a : a + block_rules]
         counts = token_counts(pages, {t for _, r in block for t in r.literals})
         sent = context.broadcast({kind: ([r for k, r in block if k == kind], counts) for kind in ("rule", "pattern")})
-        out = out.mapInArrow(_judge(sent, names.index("url")), schema)
-    verdict = F.coalesce("__rule_action", "__pattern_action", F.lit(otherwise))
-    return out.select(*names, *[F.col(f"__{x}").alias(x) for x in added[:4]], verdict.alias("verdict"))
+        out = out.mapInArrow(_judge(sent, names.index(url)), schema)
+    verdict = F.coalesce(mark + "rule_action", mark + "pattern_action", F.lit(otherwise))
+    return out.select(*[f"`{x}`" for x in names], *[F.col(mark + x).alias(x) for x in added[:4]], verdict.alias("verdict"))
 
 
 def _judge(sent, url_at: int):

@@ -432,7 +432,7 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     calm = "a calm walk along the river with a friend and a small dog on a bright morning"
     schema = "doc_id long, text string, lang string, source string, n_chars long, number string, digest string, text_ string, Score string"
-    odd = [(9001, None), (9002, ""), (9003, calm), (9003, calm), (9004, calm), (None, calm + " again"), (9005, "word " * 30_000), (9006, "\n \t")]
+    odd = [(9001, None), (9002, ""), (9003, calm), (9003, calm), (9004, calm), (None, calm + " again"), (None, " ".join(f"only{i}" for i in range(20))), (9005, "word " * 30_000), (9006, "\n \t")]
     odd = spark.createDataFrame([(i, t, None, None, None, "x", None, "y", "z") for i, t in odd], schema)
     own = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 80")
     for name, docs in (("rows", own.unionByName(odd, allowMissingColumns=True)), ("none", odd.limit(0))):
@@ -444,7 +444,7 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
     assert len({(d, p) for d, p, _ in pieces}) == len(pieces)
     ids = {d for d, _, _ in pieces}
     assert {9001, 9002, 9003, 9005, 9006, None} <= ids and 9004 not in ids
-    assert [n for d, _, n in pieces if d in (9001, 9002)] == [1, 1]
+    assert [n for d, _, n in pieces if d in (9001, 9002)] == [1, 1] and len([d for d in pieces if d[0] is None]) == 1
     assert sum(n for d, _, n in pieces if d == 9005) > 30_000
     none = corpus_pipeline.run(spark, f"{tmp_path}/none")
     assert none.columns == out.columns and none.count() == 0
@@ -455,7 +455,7 @@ def test_pipeline_tells_texts_of_one_doc_id_apart(spark):
 
     stages = dict(corpus_pipeline.STAGES)
     text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
-    rows = [(1, text(1)), (2, text(2)), (2, text(1)), (3, text(3)), (3, text(4)), (3, text(4)), (4, text(5)), (4, text(5) + " y"), (4, None), (4, None), (4, ""), (None, text(1))]
+    rows = [(1, text(1)), (2, text(2)), (2, text(1)), (3, text(3)), (3, text(4)), (3, text(4)), (4, text(5)), (4, text(5) + " y"), (4, None), (4, None), (4, ""), (None, text(1)), (None, text(8)), (None, text(8)), (None, None), (None, text(3) + " y")]
     rows += [(9, text(6)), (9, text(7)), (5, text(7) + " z")]
     df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id int, text string, source string").repartition(3)
     kept = stages["near_dedup"](spark, df, SF)
@@ -463,8 +463,40 @@ def test_pipeline_tells_texts_of_one_doc_id_apart(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     either = [x for x in got if x in ((4, text(5)), (4, text(5) + " y"))]
     assert len(either) == 1
-    want = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (4, None), (4, ""), (None, text(1)), (9, text(6)), (5, text(7) + " z")]
+    want = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (4, None), (4, ""), (None, text(8)), (None, None), (9, text(6)), (5, text(7) + " z")]
     assert got == sorted(want + either, key=str)
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     leaks = spark.createDataFrame([(1, item), (1, text(1)), (None, item), (2, None)], "doc_id int, text string")
-    assert sorted(map(tuple, stages["decontamination"](spark, leaks, SF).collect()), key=str) == sorted([(1, text(1)), (None, item), (2, None)], key=str)
+    assert sorted(map(tuple, stages["decontamination"](spark, leaks, SF).collect()), key=str) == sorted([(1, text(1)), (2, None)], key=str)
+
+
+def test_pipeline_leaves_words_of_short_items_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the cat sat on a mat"), (2, "one two three four five six seven"), (3, "x one two three four five six seven eight y"), (None, "one two three four five six seven eight")], "doc_id long, text string")
+    spark.createDataFrame([(1, "the"), (2, "one two three four five six seven"), (3, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_toxicity_stage_equals_brute_force_and_finds_columns_of_any_case(spark, tmp_path):
+    import corpus_pipeline
+    from quarrystone.llm.toxicity import ToxicityModel
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = ToxicityModel.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")).score(docs).select("doc_id", "score").collect()
+    odd = docs.withColumnRenamed("text", "Text").withColumnRenamed("doc_id", "DOC_ID").withColumn("offending", F.lit("own"))
+    got = dict(corpus_pipeline.STAGES)["toxicity"](spark, odd, sf)
+    assert got.columns == odd.columns
+    assert sorted(r.DOC_ID for r in got.select("DOC_ID").collect()) == sorted(r.doc_id for r in scores if r.score < 0.5)
+
+
+def test_urls_and_top_k_of_odd_names_and_sizes(spark):
+    pages = spark.createDataFrame([("http://A.com/x", 1, 2)], "URL string, __host int, Host int")
+    out = judge_urls(pages, [domain_rule("com", "/", "block")])
+    assert out.columns == ["URL", "__host", "host", "path", "rule", "pattern", "verdict"] and out.first()["host"] == "a.com" and out.first()["__host"] == 1
+    with pytest.raises(ValueError, match="named url"):
+        judge_urls(pages.drop("URL"), [])
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="53 bits"):
+        exact_top_k(huge, huge)

@@ -10,7 +10,9 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from quarrystone.llm import text as T
 from quarrystone.llm.components import connected_components
 from quarrystone.llm.decontamination import MASKS, contaminated
 from quarrystone.llm.near_duplicates import near_duplicates
@@ -242,6 +244,62 @@ def test_contaminated_places_and_awkward_rows(spark):
     assert contaminated(df, bench.limit(0)).collect() == []
 
 
+def balanced(n):
+    """The first n letters of a word of a and b in which each doubled block turns over, and its opposite: weighted sums of their letters agree."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n], word[:n].translate(str.maketrans("ab", "ba"))
+
+
+def patterned_words():
+    rng = random.Random(12)
+    out = [w for n in (1, 7, 8, 9, 63, 64, 65, 512, 1024, 2048, 4096, 10_000) for w in balanced(n)]
+    for n in (1, 2, 4, 8, 16, 64, 256, 1024):
+        a, b = "x" * n, "".join(rng.choice("yz") for _ in range(n))
+        out += [a + b, b + a, a + b + a + b, b + a + b + a, a * 3]
+    out += ["".join(rng.choice("abé") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    return out + out[::3]
+
+
+def test_hashes_tell_words_apart():
+    words = [w.encode() for w in patterned_words()]
+    data, offsets = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    found = T.Words(data, offsets, between=np.zeros(256, bool)).hash.tolist()
+    assert len(set(found)) == len(set(words)) == len(set(zip(found, words, strict=True)))
+    at, of = T.Spans(data).distinct(offsets[:-1], offsets[1:])
+    assert [words[at[i]] for i in of] == words and len(at) == len(set(words))
+
+
+def test_equal_keys_are_compared_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(T.Spans, "hash", lambda self, start, end: np.zeros(len(start), np.uint64))
+    words = [w.encode() for w in patterned_words()]
+    data, offsets = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    at, of = T.Spans(data).distinct(offsets[:-1], offsets[1:])
+    assert [words[at[i]] for i in of] == words
+
+
+def test_operators_tell_balanced_words_apart(spark):
+    x, y = balanced(1024)
+    docs = spark.createDataFrame([(1, x), (2, y)], DOCS).coalesce(1)
+    library = Encoder(public_tokenizer()).slow
+    got = {r.doc_id: r.ids_crc32 for r in pack_documents(docs, derive={"ids_crc32": F.crc32("ids")}).collect()}
+    assert got == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in ((1, x), (2, y))}
+    assert [(r.component_id, r.kept) for r in near_duplicates(docs).orderBy("doc_id").collect()] == [(1, True), (2, True)]
+    items = spark.createDataFrame([(7, x)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(docs, items, short=True).collect()] == [(1, 7)]
+
+
+def test_encoder_of_patterned_words():
+    encoder = Encoder(public_tokenizer())
+    texts = [" ".join(patterned_words()[i : i + 40]) for i in range(0, 300, 40)] + [w for w in patterned_words() if len(w) > 500]
+    raw = [t.encode() for t in texts]
+    for _ in range(2):
+        ids, first = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for d, text in enumerate(texts):
+            assert ids[first[d] : first[d + 1]].tolist() == encoder.slow.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_cache_stays_within_its_bytes():
     encoder = Encoder(public_tokenizer(), cache_bytes=20_000)
     rng = random.Random(1)
@@ -249,7 +307,7 @@ def test_encoder_cache_stays_within_its_bytes():
         text = " ".join(f"q{rng.randrange(10**9)}" for _ in range(200)).encode()
         ids, _ = encoder.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         assert ids.tolist() == encoder.slow.encode(text.decode(), add_special_tokens=False).ids
-        assert sum(170 + len(x) for x in encoder.cache.values()) == encoder.held <= 20_000 + 400
+        assert sum(180 + len(k) + len(x) for k, x in encoder.cache.items()) == encoder.held <= 20_000 + 400
 
 
 def test_encoder_equals_the_library():
