@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of `docs`. Rows without a doc_id or text pass the filters that need them.
+of `docs`. Rows without a doc_id are filtered like others, by their texts; rows without a text pass every filter.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from quarrystone.llm.packing import pack_documents
 from quarrystone.llm.toxicity import ToxicityModel
 from quarrystone.llm.work import Work
 
+#: Shorter benchmark items are words that clean documents hold by chance.
+LEAST_TOKENS = 8
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model trained on the labelled rows of the corpus calls toxic go."""
@@ -27,29 +30,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id.
 
-    Texts that share a doc_id are documents of their own; of rows that repeat doc_id and text, one stays.
+    Texts that share a doc_id, or have none, are documents of their own, the latter after all others; of rows that repeat doc_id and text, one stays.
     """
-    # Repeated ids are looked for among the ids only.
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    # Repeated and missing ids are looked for among the ids only.
+    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
     if not repeats:
         gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
         return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
     # Numbers in order of doc_id, one for each of its texts. A table, so that they stay as they are.
     own, digest = docs.doc_id.cast("long"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
-    pairs = docs.where("doc_id is not null").select(own.alias("id"), digest.alias("digest")).distinct().orderBy("id", "digest")
+    pairs = docs.select(own.alias("id"), digest.alias("digest")).distinct().orderBy(F.asc_nulls_last("id"), "digest")
     pairs = Work(spark, "near-dedup").put(pairs.withColumn("number", F.monotonically_increasing_id()), "numbers")
-    numbered = docs.select(own.alias("id"), digest.alias("digest"), "text").join(pairs, ["id", "digest"]).select(F.col("number").alias("doc_id"), "text")
+    rows = docs.select(own.alias("own"), digest.alias("its"), "text")
+    numbered = rows.join(pairs, F.col("own").eqNullSafe(F.col("id")) & (F.col("its") == F.col("digest"))).select(F.col("number").alias("doc_id"), "text")
     gone = near_duplicates(numbered, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("number")).distinct()
     gone = pairs.join(gone, "number").select("id", "digest")
-    kept = docs.join(gone, (own == gone.id) & (digest == gone.digest), "left_anti")
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return docs.join(gone, own.eqNullSafe(gone.id) & (digest == gone.digest), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage, word for word or with some words replaced, go."""
-    # Texts that share a doc_id are told apart.
-    key = F.when(docs.doc_id.isNotNull(), F.xxhash64(docs.doc_id.cast("long"), docs.text))
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True).select("doc_id").distinct()
+    """Documents that hold a benchmark passage of LEAST_TOKENS tokens or more, word for word or with some words replaced, go."""
+    # Texts that share a doc_id, or have none, are told apart.
+    key = F.xxhash64(docs.doc_id.cast("long"), docs.text)
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True, least_tokens=LEAST_TOKENS).select("doc_id").distinct()
     found = Work(spark, "pipeline").put(found, "contaminated")
     return docs.join(found, key == found.doc_id, "left_anti")
 
