@@ -148,15 +148,19 @@ def test_masks_hit_two_replaced_tokens_in_thirteen():
 
 
 def brute_overlaps(docs, items):
-    tokens = lambda s: [w.decode() for w in re.findall(rb"[0-9a-zA-Z\x80-\xff]+", (s or "").translate(LOWER).encode())]
+    """Every place of every item against every place of every document."""
+    numbers: dict[str, int] = {}
+    tokens = lambda s: np.array([numbers.setdefault(w.decode(), len(numbers)) for w in re.findall(rb"[0-9a-zA-Z\x80-\xff]+", (s or "").translate(LOWER).encode())], np.int32)
+    docs, items = [(d, tokens(t)) for d, t in docs], [(i, tokens(t)) for i, t in items]
     found = set()
-    for (d, text), (i, item) in itertools.product(docs, items):
-        a, b = tokens(text), tokens(item)
-        if len(b) < 8:
-            continue
+    for (d, a), (i, b) in itertools.product(docs, items):
         size = min(13, len(b))
         need = 11 if len(b) >= 13 else len(b)
-        if any(sum(x == y for x, y in zip(a[p : p + size], b[q : q + size], strict=False)) >= need for q in range(len(b) - size + 1) for p in range(len(a) - size + 1)):
+        places, starts = len(a) - size + 1, len(b) - size + 1
+        if len(b) < 8 or places < 1:
+            continue
+        equal = (a[:, None] == b[None]).astype(np.int8)
+        if (sum(equal[k : k + places, k : k + starts] for k in range(size)) >= need).any():
             found.add((d, i))
     return found
 
