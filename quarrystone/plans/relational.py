@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from quarrystone import streaming
 from quarrystone.functions import dot, money, total, utc
-from quarrystone.functions.python import Words, adler, bit_or_aggregate, html_text
+from quarrystone.functions.python import Balance, edit_distance, html_text, products_aggregate
 from quarrystone.operators.asof import asof_join
-from quarrystone.operators.percentile import exact_percentile
+from quarrystone.operators.percentile import exact_percentiles
 from quarrystone.operators.sessions import sessionize
 from quarrystone.operators.topk import top_per_group
 from quarrystone.plans.registry import ORACLE_SQL, query, streamed
@@ -90,9 +90,8 @@ def grouping_sets(spark, t):
 def percentiles(spark, t):
     """Exact percentiles; no buffer holds a group's values."""
     rows = t("lineitem").withColumn("l_shipyear", F.year("l_shipdate").cast("bigint"))
-    quantity = exact_percentile(rows, "l_shipyear", "l_quantity", 0.5).withColumnRenamed("percentile", "median_qty")
-    price = exact_percentile(rows, "l_shipyear", "l_extendedprice", 0.9).select(F.col("l_shipyear").alias("y"), F.round("percentile", 4).alias("p90_price"))
-    return quantity.join(price, F.col("l_shipyear").eqNullSafe(F.col("y"))).drop("y")
+    found = exact_percentiles(rows, "l_shipyear", {"median_qty": ("l_quantity", 0.5), "p90_price": ("l_extendedprice", 0.9)})
+    return found.withColumn("p90_price", F.round("p90_price", 4))
 
 
 @query("""SELECT p_brand, round(stddev_samp(p_retailprice), 4) AS sd, round(var_pop(p_size), 4) AS vp, count(DISTINCT p_type) AS types, max(p_name) AS top
@@ -230,38 +229,37 @@ def arrays_and_maps(spark, t):
     return m.select("o_custkey", F.array_min(F.map_keys("m")).alias("first_status"), F.size("m").alias("statuses"), F.coalesce(F.try_element_at("m", F.lit("F")), F.lit(0)).alias("f"), F.array_contains("p", "1-URGENT").alias("urgent"))
 
 
-@query("""SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS near FROM lineitem GROUP BY 1""")
-def approximate_distinct(spark, t):
-    """A mergeable sketch of distinct keys, held against the exact number: within four of its relative standard deviations of 2 %."""
-    found = t("lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("sketch"), F.countDistinct("l_orderkey").alias("orders"))
-    return found.select("l_returnflag", "orders", (F.abs(F.col("sketch") - F.col("orders")) <= 0.08 * F.col("orders")).alias("near"))
-
-
 @query("""SELECT start, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, event_type FROM events) GROUP BY 1, 2""")
 def sliding_events(spark, t):
     """Windows of two hours that begin every hour."""
     return t("events").groupBy(F.window("ts", "2 hours", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("""WITH RECURSIVE s(p_partkey, t, i, a, b) AS (
-              SELECT p_partkey, p_name, 1, 1, 0 FROM part
-              UNION ALL SELECT p_partkey, t, i + 1, (a + ascii(substr(t, i, 1))) % 65521, (b + a + ascii(substr(t, i, 1))) % 65521 FROM s WHERE i <= length(t))
-          SELECT p_partkey, (b::BIGINT * 65536 + a)::BIGINT AS adler FROM s WHERE i = length(t) + 1""")
+@query("""SELECT p_partkey, damerau_levenshtein(p_name, p_type)::BIGINT AS distance FROM part""")
 def scalar_function(spark, t):
-    """A scalar function in Python over Arrow batches."""
-    return t("part").select("p_partkey", adler("p_name").alias("adler"))
+    """A scalar function in Python over Arrow batches: an edit distance that counts swaps, which is not built in."""
+    return t("part").select("p_partkey", edit_distance("p_name", "p_type").alias("distance"))
 
 
-@query("""SELECT o_custkey, bit_or(o_orderkey)::BIGINT AS bits FROM orders GROUP BY 1""")
+@query("""WITH v AS (SELECT label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+          p AS (SELECT label, i, v[i]::BIGINT AS a, unnest(v) AS b, unnest(range(1, len(v) + 1)) AS j FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM v))
+          SELECT label, i::INT AS i, j::INT AS j, sum(a * b)::BIGINT AS product FROM p GROUP BY ALL""")
 def aggregate_function(spark, t):
-    """An aggregate in Python, partial before the shuffle."""
-    return bit_or_aggregate(t("orders"), "o_custkey", "o_orderkey")
+    """An aggregate in Python, partial before the shuffle: the second moments of each label's vectors."""
+    m = products_aggregate(t("embeddings"), "label", "embedding")
+    cells = m.select("label", "dims", F.posexplode("products").alias("p", "product"))
+    return cells.select("label", (F.floor(F.col("p") / F.col("dims")) + 1).cast("int").alias("i"), (F.col("p") % F.col("dims") + 1).cast("int").alias("j"), "product")
 
 
-@query("""SELECT p_partkey, (pos - 1)::INT AS pos, words[pos] AS word FROM (SELECT p_partkey, words, unnest(range(1, len(words) + 1)) AS pos FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part))""")
+@query("""WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN round(coalesce(value, 0) * 100)::BIGINT WHEN 'error' THEN -2500 ELSE 0 END AS change, ts FROM events),
+          s AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM c)
+          SELECT user_id, event_id, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))::BIGINT AS balance FROM s""")
 def table_function(spark, t):
-    """A table function in Python, joined laterally."""
-    return t("part").lateralJoin(Words(F.col("p_name").outer())).select("p_partkey", "pos", "word")
+    """A table function in Python over a table that is dealt by user and in order of time: a balance that purchases raise, errors lower, and that is never below 0."""
+    change = F.when(F.col("event_type") == "purchase", F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")).when(F.col("event_type") == "error", -2500).otherwise(0)
+    rows = t("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"), change.alias("change"))
+    return Balance(rows.asTable()).select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "balance")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a href='))::BIGINT AS links FROM pages""")

@@ -2,9 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.functions.python import bit_or_aggregate, html_text
+from quarrystone.functions.python import html_text
 from quarrystone.operators.asof import asof_join
-from quarrystone.operators.percentile import exact_percentile
+from quarrystone.operators.percentile import exact_percentile, exact_percentiles
 from quarrystone.operators.sessions import sessionize
 from quarrystone.operators.topk import top_per_group
 
@@ -38,6 +38,35 @@ def test_exact_percentile(spark):
     assert exact_percentile(df.limit(0), "g", "x", 0.5).collect() == []
 
 
+def test_several_percentiles_at_once(spark):
+    rows = [("a", float(i), None) for i in range(11)] + [("a", None, 4.0), ("b", None, 1.0), ("b", None, 2.0), ("c", None, None)]
+    got = exact_percentiles(spark.createDataFrame(rows, "g string, x double, y double"), "g", {"m": ("x", 0.5), "top": ("x", 1.0), "y": ("y", 0.5)})
+    assert sorted(map(tuple, got.collect())) == [("a", 5.0, 10.0, 4.0), ("b", None, None, 1.5)]
+
+
+def test_asof_join_of_a_hot_key_in_chunks(spark):
+    import bisect
+    import random
+
+    rng = random.Random(4)
+    left = [(i, "hot" if i % 2 else rng.choice(["a", "b", None]), rng.choice([rng.randint(-500, 500), None, 7])) for i in range(400)]
+    right = [("hot" if i % 2 else rng.choice(["a", "c"]), rng.randint(-400, 400), i) for i in range(120)] + [("hot", 5, None), ("a", None, 1)]
+    a, b = spark.createDataFrame(left, "id int, k string, t int"), spark.createDataFrame(right, "k string, t int, v int")
+    known = {k: sorted((t, -1 if v is None else v) for kk, t, v in right if kk == k and t is not None) for k in ("hot", "a", "b", "c")}
+
+    def expected(k, t):
+        if k is None or t is None:
+            return None
+        at = bisect.bisect_right(known[k], (t, 10**9))
+        return None if not at or known[k][at - 1][1] == -1 else known[k][at - 1][1]
+
+    for chunk in (10, 100_000):
+        got = asof_join(a, b, ["k"], "t", ["v"], chunk=chunk)
+        assert got.columns == ["id", "k", "t", "v_asof"]
+        assert sorted(map(tuple, got.collect())) == sorted((i, k, t, expected(k, t)) for i, k, t in left)
+    assert asof_join(a, b.limit(0), ["k"], "t", ["v"]).where("v_asof is not null").count() == 0 and asof_join(a.limit(0), b, ["k"], "t", ["v"]).count() == 0
+
+
 def test_html_text(spark):
     html = "<title>A &amp; B</title><style>p{}</style><p>One <b>two</b><script>var x='<p>no</p>'</script><p>three<br>four<!-- no --><a href='/x'>link</a> &lt;5"
     got = html_text(spark.createDataFrame([(1, html, "z"), (2, None, "z"), (3, "", "z")], "page_id int, html string, title string")).orderBy("page_id").collect()
@@ -45,12 +74,6 @@ def test_html_text(spark):
     assert [(r.title, r.links, r.body) for r in got[1:]] == [("", 0, ""), ("", 0, "")]
 
 
-def test_bits_of_nulls_and_empty_tables(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 4), (None, 2), ("b", None)], "g string, x int").repartition(3)
-    assert {r.g: r.bits for r in bit_or_aggregate(df, "g", "x").collect()} == {"a": 5, None: 2, "b": 0}
-    assert bit_or_aggregate(df.limit(0), "g", "x").collect() == []
-
-
 def test_sessions(spark):
     df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:00'), (1, TIMESTAMP '2024-01-01 01:00:00'), (1, TIMESTAMP '2024-01-01 03:00:00'), (2, TIMESTAMP '2024-01-01 03:00:00') AS t(u, ts)")
     assert [r.session for r in sessionize(df, ["u"], "ts", "1 HOUR").orderBy("u", "ts").collect()] == [1, 1, 2, 1]
