@@ -3,11 +3,13 @@
 Sparse multinomial logistic regression over word 1- to 3-grams tells licence families and an unknown class
 apart; its temperature is fitted on held-out paragraphs so that probabilities mean what they say. A
 prediction is confirmed by comparing the paragraph with the family's templates. Paragraphs are lines, and
-passages over several lines, which are looked for where a template's word bigrams lie close together.
+passages over several lines, which are looked for where a template's word bigrams lie close together. An SPDX
+expression of several identifiers is judged as one line for each.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,33 +38,49 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Released under the BSD 3-Clause License.",
+        "Released under the BSD 2-Clause License.",
+        "License: BSD",
+        "SPDX-License-Identifier: BSD-2-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Released into the public domain under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "Licensed under the GNU General Public License v2.0.",
+        "Licensed under GPLv2.",
+        "Licensed under GPLv3.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "MIT": (
         "Released under the MIT License.",
@@ -83,9 +101,9 @@ MARKS = {
     "CC-BY-NC": (("nc", "noncommercial"), ("sa", "nd", "sharealike", "noderivatives", "noderivs")),
     "CC-BY-SA": (("sa", "sharealike"), ("nc", "nd", "noncommercial", "noderivatives", "noderivs")),
     "CC0": (("cc0", "waived"), ()),
-    "GPL": (("gnu", "gpl"), ("lesser", "lgpl", "affero", "agpl", "documentation")),
+    "GPL": (("gnu", "gpl", "gplv2", "gplv3"), ("lesser", "lgpl", "affero", "agpl", "documentation")),
     "LGPL": (("lesser", "lgpl"), ()),
-    "MIT": (("mit", "permission"), ()),
+    "MIT": (("mit", "permission"), ("isc", "fee")),
     "MPL-2.0": (("mozilla", "mpl"), ()),
 }
 #: Notices of other licences, which are of the unknown class.
@@ -100,6 +118,7 @@ NEAR_MISSES = (
     "This work is licensed under the GNU Affero General Public License, version 3.",
     "This manual is licensed under the GNU Free Documentation License, version 1.3.",
     "Released under the ISC License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "Released under the zlib License.",
     "SPDX-License-Identifier: ISC",
     "SPDX-License-Identifier: EPL-2.0",
@@ -118,6 +137,18 @@ DISTRACTORS = (
     "This work is based on a common idea and international attribution.",
     "The foundation published the terms and conditions of use.",
 )
+#: A licence that is denied is not granted.
+DENIED = re.compile(r"\b(?:not|never|no longer|isn.?t|aren.?t|wasn.?t)\s+(?:\w+\s+)?(?:licensed|released|available|distributed|covered|provided)\b", re.I)
+#: An SPDX line's expression, and its operators.
+EXPRESSION = re.compile(r"(SPDX-License-Identifier:)\s*(\S.*?(?:\s(?:AND|OR|WITH)\s.*?)+)\s*(?:\*/|-->)?\s*$")
+OPERATOR = re.compile(r"\s+(?:AND|OR)\s+|[()]")
+
+
+def expression_lines(line: str) -> list[str]:
+    """A line for each licence of an SPDX expression of several; none of other lines. Exceptions (WITH) are left out."""
+    found = EXPRESSION.search(line)
+    names = [x.split()[0] for x in OPERATOR.split(found[2]) if x.split()] if found else []
+    return list(dict.fromkeys(f"{found[1]} {x}" for x in names)) if len(names) > 1 else []
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +189,19 @@ def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
 
 
+def _examples(batches):
+    """The paragraphs of a table's texts that are not near a template, nor lines of a wrapped notice: those have too little of a template to be near it, but are no examples of the unknown class."""
+    near = Templates()
+    for batch in batches:
+        for _, data, offsets in T.chunks(batch):
+            cuts, of = _lines(data, offsets)
+            wrapped = {i for a, b in near.passages(T.Words(data, cuts, between=T.PUNCTUATION), of) for i in range(a, b + 1)}
+            lines = (data[cuts[i] : cuts[i + 1]].tobytes().decode("utf-8", "replace").rstrip("\n") for i in range(len(cuts) - 1) if i not in wrapped)
+            own = [p for p in lines if p.strip() and not any(near.similarity(p, f) >= 0.5 for f in TEMPLATES)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["paragraph"])
+
+
 @dataclass
 class LicenceModel:
     """Weights (features by classes), biases, temperature; `families` name the classes, the unknown one first."""
@@ -169,15 +213,17 @@ class LicenceModel:
     temperature: float
 
     @staticmethod
-    def fit(docs: DataFrame, max_paragraphs: int = 4000, max_docs: int = 2000, max_chars: int = 20_000, copies: int = 40, epochs: int = 60, seed: int = 11) -> LicenceModel:
+    def fit(docs: DataFrame, max_paragraphs: int = 4000, max_docs: int = 2000, copies: int = 40, epochs: int = 60, seed: int = 11) -> LicenceModel:
         """Trains on changed copies of the templates against paragraphs of the corpus.
 
-        Of `docs` (doc_id, text), about `max_docs` documents of at most `max_chars` characters are drawn by a hash of doc_id and text, and of their paragraphs
-        `max_paragraphs` at most, as examples of the unknown class; those that are near a template are left out.
+        Of `docs` (doc_id, text), about `max_docs` documents are drawn by a hash of doc_id and text (those without a doc_id by that of their text), and of their paragraphs
+        `max_paragraphs` at most, by a hash of them, as examples of the unknown class; those that are near a template are left out. Only these paragraphs go to the driver.
         """
-        usable = docs.where("doc_id is not null and text is not null").where(F.length("text") <= max_chars).select("doc_id", "text")
+        usable = docs.where("text is not null").select("doc_id", "text")
         share = min(1.0, max_docs / max(1, docs.count()))
-        drawn = usable.where(F.xxhash64("doc_id", "text").cast("double") < (2 * share - 1) * float(1 << 63)).distinct().toPandas().sort_values(["doc_id", "text"])
+        drawn = usable.where(F.xxhash64("doc_id", "text").cast("double") < (2 * share - 1) * float(1 << 63)).select("text")
+        own = drawn.mapInArrow(T.trimmed(_examples), "paragraph string").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(max_paragraphs)
+        own = [r.paragraph for r in own.collect()]
         rng = np.random.default_rng(seed)
         families = [UNKNOWN, *TEMPLATES]
         texts, y = [], []
@@ -191,17 +237,6 @@ class LicenceModel:
                             words = [w.upper() for w in words] if rng.random() < 0.3 else [w.lower() for w in words]
                     texts.append(" ".join(words))
                     y.append(c)
-        near = Templates()
-        # A line of a wrapped notice has too little of a template to be near it, but is no example of the unknown class.
-        wrapped, done = set(), 0
-        for rows, data, offsets in T.chunks(pa.RecordBatch.from_arrays([pa.array(drawn["text"].tolist(), pa.large_string())], ["text"])):
-            cuts, of = _lines(data, offsets)
-            for a, b in near.passages(T.Words(data, cuts, between=T.PUNCTUATION), of):
-                wrapped |= {(done + int(of[a]), x - int(np.searchsorted(cuts, offsets[of[a]]))) for x in range(a, b + 1)}
-            done += rows.num_rows
-        own = [p for d, t in enumerate(drawn["text"]) for i, p in enumerate(t.split("\n")) if p.strip() and (d, i) not in wrapped]
-        own = [own[i] for i in rng.permutation(len(own))[:max_paragraphs]]
-        own = [p for p in own if not any(near.similarity(p, f) >= 0.5 for f in TEMPLATES)]
         for p in [*own, *list(DISTRACTORS + NEAR_MISSES) * copies]:
             texts.append(p)
             y.append(0)
@@ -251,7 +286,8 @@ class LicenceModel:
         """doc_id, paragraph (from 0), start, end (characters), family, probability, similarity, confirmed: a row per paragraph of `docs` (doc_id, text) that is predicted to be of a family.
 
         confirmed tells whether the best template of the family has `least_similarity` of its word bigrams in
-        the paragraph, which must also hold one of the family's MARKS and none of the words that others have. A paragraph is a line, or a run of lines with a wrapped notice: its number is its first line's, its span that of
+        the paragraph, which must also hold one of the family's MARKS and none of the words that others have, and not deny the licence. An SPDX expression of several licences
+        gives a row for each that is of a family. A paragraph is a line, or a run of lines with a wrapped notice: its number is its first line's, its span that of
         its lines, and probability and similarity are those of the words from the notice's first to its last. Runs count only if
         confirmed; of overlapping notices that are of one family or rest on the same words, the one most like its template
         counts, or else that of fewer lines. Null, blank and clean texts give no rows; repeated rows repeat theirs.
@@ -294,6 +330,16 @@ class LicenceModel:
                     text = lambda a, b: data[a:b].tobytes().decode("utf-8", "replace")
                     found, w = judged(data, cuts)
                     notices = [Notice(i, i, families[c], p, *templates.best(text(cuts[i], cuts[i + 1]), families[c])) for i, c, p in found]
+                    # An expression's identifiers are judged one by one.
+                    marked = np.unique(np.searchsorted(cuts, [m.start() for m in re.finditer(rb"SPDX-License-Identifier:", data.tobytes())], "right") - 1).tolist()
+                    several = [(i, line) for i in marked for line in expression_lines(text(cuts[i], cuts[i + 1]))]
+                    if several:
+                        apart = {i for i, _ in several}
+                        notices = [x for x in notices if x.first not in apart]
+                        for i, c, p in judged(*_chunk([line for _, line in several]))[0]:
+                            at, line = several[i]
+                            notices.append(Notice(at, at, families[c], p, *templates.best(line, families[c])))
+                        notices.sort(key=lambda x: x.first)
                     wrapped = []
                     for part in _parts(templates.passages(w, of), w):
                         at = [(w.start[a], w.end[b]) for _, _, a, b in part]
@@ -301,11 +347,11 @@ class LicenceModel:
                         for i, c, p in judged(np.concatenate([data[a:b] for a, b in at]), ends)[0]:
                             wrapped.append(Notice(*part[i][:2], families[c], p, *templates.best(text(*at[i]), families[c])))
                     out = []
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     for x in _settled(notices, [x for x in wrapped if x.alike >= least_similarity], least_similarity):
                         d = int(of[x.first])
                         own = text(cuts[x.first], cuts[x.last + 1]).rstrip("\n")
-                        before = data[offsets[d] : cuts[x.first]]
-                        start = int(((before & 0xC0) != 0x80).sum())
+                        start = int(chars[cuts[x.first]] - chars[offsets[d]])
                         out.append((d, x.first - int(np.searchsorted(cuts, offsets[d])), start, start + len(own), x.family, x.sure, x.alike, x.alike >= least_similarity))
                     if out:
                         cols = list(zip(*out, strict=True))
@@ -387,7 +433,7 @@ class Templates:
         """That share, and the bigrams."""
         own, words = self._grams(text), set(self._words(text))
         some, none = MARKS[family]
-        if words.isdisjoint(some) or not words.isdisjoint(none):
+        if words.isdisjoint(some) or not words.isdisjoint(none) or DENIED.search(text):
             return 0.0, set()
         most = max(self.grams[family], key=lambda g: len(g & own) / len(g))
         return len(most & own) / len(most), most & own

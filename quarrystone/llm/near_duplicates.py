@@ -86,7 +86,7 @@ def _floor(n: Column, k: int, percent: int) -> Column:
     """Retained values, of k at most, that a set of size n shares with any similar one."""
     # A set that its sketch holds whole: its partner is whole too, or at most n / t large.
     whole = F.least(F.ceil(n * percent / 100), F.ceil(k - n * (100 / percent - 1)))
-    return F.greatest(F.lit(1), F.when(n > k, least_common(k, percent)).otherwise(whole))
+    return F.greatest(F.lit(1), F.when(n > k, least_common(k, percent) if k < 1 << 31 else 1).otherwise(whole))
 
 
 def _screened(nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _index(sets: DataFrame, k: int, percent: int) -> DataFrame:
     one of each, values are of use for all sizes.
     """
     t = percent / (100 + percent)  # of both sizes' sum, what similar sets have in common
-    posts = sets.select("node", F.size("shingles").alias("n"), F.explode(F.slice("shingles", 1, k)).alias("v"))
+    posts = sets.select("node", F.size("shingles").alias("n"), F.explode(F.slice("shingles", 1, min(k, (1 << 31) - 1))).alias("v"))
     shared = posts.groupBy("v").agg(F.count("*").alias("df")).where("df >= 2")
     held = posts.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     n, size = F.col("n"), F.least(F.col("n"), F.lit(k))
@@ -128,16 +128,18 @@ def _useful(index: DataFrame, k: int) -> DataFrame:
     return index.join(lists, "v").where(keep).select("v", "node", "n", "low", "high")
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, similar) of the pairs that the union sketch leaves; the full sets decide."""
+def _compared(pairs: DataFrame, nodes: DataFrame | None, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, similar) of the pairs that the union sketch of `nodes` leaves (all, without them); the full sets decide."""
     floor = least_common(k, percent)
     side = lambda df, name, col: df.select(F.col("node").alias(name), F.col(col).alias(f"{col}_{name}"))
-    near = pairs.join(side(nodes, "a", "sketch"), "a").join(side(nodes, "b", "sketch"), "b")
-    both = F.array_intersect("sketch_a", "sketch_b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
-    seen = F.size(F.array_intersect(union, both))
-    # Below k values the union sketch is the union, and the estimate is exact.
-    near = near.where(F.when(F.size(union) < k, 100 * seen >= percent * F.size(union)).otherwise(seen >= floor)).select("a", "b")
+    near = pairs
+    if nodes is not None:
+        near = pairs.join(side(nodes, "a", "sketch"), "a").join(side(nodes, "b", "sketch"), "b")
+        both = F.array_intersect("sketch_a", "sketch_b")
+        union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
+        seen = F.size(F.array_intersect(union, both))
+        # Below k values the union sketch is the union, and the estimate is exact.
+        near = near.where(F.when(F.size(union) < k, 100 * seen >= percent * F.size(union)).otherwise(seen >= floor)).select("a", "b")
     full = near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return full.select("a", "b", (100 * common >= percent * (F.size("shingles_a") + F.size("shingles_b") - common)).alias("similar"))
@@ -189,7 +191,7 @@ def _links_by_differences(refs: DataFrame, sets: DataFrame, percent: int, work:
     return found.where(2 * alike + 1e-6 >= F.col("a") + F.col("a_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, wide: int = 512, star_rounds: int = 2, pairs_per_posting: int = 4, most_references: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 32, wide: int = 512, star_rounds: int = 2, pairs_per_posting: int = 4, most_references: int = 1, exact: bool = False) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. A document's set holds its
@@ -200,7 +202,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     Null or blank texts have no shingles and no links of their own. Rows that share a doc_id are one document: a link of
     any holds for all, whatever their texts. A null doc_id has a null component_id, links nothing, and is kept. An empty
     table gives an empty result. Sets are of 64-bit hashes of shingles.
+
+    With `exact`, nothing rests on chances: no node is screened out by its sketch, the index holds whole sets whatever their size, and the full sets alone decide on
+    pairs. That indexes every shingle that two documents share, so it costs more where texts are long.
     """
+    wide = 1 << 40 if exact else wide
     spark = docs.sparkSession
     work = Work(spark, "near-duplicates")
     sk = work.put(sketches(docs, shingle, k), "sketches")
@@ -208,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     classes = sk.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("of"))
     classes = work.put(classes.select("digest", "of.doc_id", "of.own", F.monotonically_increasing_id().alias("node")), "classes")
     nodes = sk.where("digest is not null").select("doc_id", "own", "n", "sketch").join(classes.drop("digest"), ["doc_id", "own"]).select("node", "n", "sketch").dropDuplicates(["node"])
-    members = work.put(_screened(nodes, k, percent), "members")
+    members = work.put(nodes.select("node") if exact else _screened(nodes, k, percent), "members")
     nodes = work.put(nodes.join(members, "node", "left_semi"), "nodes")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own"), "text")
     rows = rows.join(classes.join(members, "node", "left_semi").select("doc_id", "own", "node"), ["doc_id", "own"]).select("node", "text").distinct()
@@ -252,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
             found = own.join(other.where("array_contains(of, node_b)"), "v").where("node <> node_b")
         found = found.where(f"label <> label_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").where(usable)
         found = work.put(found.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), f"pairs-{i}")
-        compared = work.put(_compared(found, nodes, sets, k, percent), f"compared-{i}")
+        compared = work.put(_compared(found, None if exact else nodes, sets, k, percent), f"compared-{i}")
         tested = compared if tested is None else tested.union(compared)
         new = compared.where("similar").select("a", "b")
         new = work.put(new if more is None else new.union(more), f"links-{i}")

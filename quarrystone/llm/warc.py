@@ -105,7 +105,10 @@ def records(pages: DataFrame, work: Work, least_bytes: int = 0, date: str | None
     uri, sha = ("WARC-Target-URI", _clean(F.col("url"))), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     own = _urn("response", key)
     host = F.regexp_extract("url", r"://([^/?#\s]*)", 1)
-    request = _record("request", _urn("request", key), date, [uri, ("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET / HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
+    # What is asked for is the path with its query; one that is empty is the root's.
+    target = F.regexp_extract("url", r"://[^/?#\s]*([^#\s]*)", 1)
+    target = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+    request = _record("request", _urn("request", key), date, [uri, ("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1" + CRLF + "Host: "), host, F.lit(CRLF + CRLF)))
     response = _record("response", own, date, [uri, sha], "application/http; msgtype=response", F.concat(F.lit(HTTP + CRLF), F.col("html")))
     revisit = _record("revisit", own, date, [uri, sha, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", _urn("response", original))], "application/http; msgtype=response", F.lit(HTTP + CRLF))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))

@@ -393,6 +393,40 @@ def test_licences_that_are_near_others(spark):
     assert LicenceModel.fit(spark.createDataFrame([], "doc_id long, text string")).scan(spark.createDataFrame(rows[2:3], "doc_id long, text string")).where("confirmed").count() == 1
 
 
+def test_licences_by_identifiers_versions_and_denial(spark):
+    model = LicenceModel.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies."
+    want = {
+        "SPDX-License-Identifier: GPL-2.0-only": ["GPL"],
+        "// SPDX-License-Identifier: GPL-2.0-or-later": ["GPL"],
+        "SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL"],
+        "SPDX-License-Identifier: CC-BY-4.0": ["CC-BY"],
+        "SPDX-License-Identifier: CC0-1.0": ["CC0"],
+        "Licensed under the GNU General Public License v2.0": ["GPL"],
+        "Licensed under GPLv3": ["GPL"],
+        "License: BSD": ["BSD"],
+        "SPDX-License-Identifier: BSD-2-Clause": ["BSD"],
+        "Not licensed under the MIT License.": [],
+        "This is not released under the MIT License.": [],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0": ["BSD", "GPL", "MIT"],
+        "SPDX-License-Identifier: ISC": [],
+        "SPDX-License-Identifier: AGPL-3.0-only": [],
+        isc: [],
+    }
+    rows = list(enumerate(want))
+    found = model.scan(spark.createDataFrame([(i, f"é one line\n{t}\nanother") for i, t in rows], "doc_id long, text string")).where("confirmed").collect()
+    got = {t: sorted(r.family for r in found if r.doc_id == i) for i, t in rows}
+    assert got == want
+    assert all((r.paragraph, r.start, r.end) == (1, 11, 11 + len(rows[r.doc_id][1])) for r in found)
+
+
+def test_licences_train_without_sending_texts_to_the_driver(spark):
+    long = "word " * 50_000 + "\n" + "tail of a long text"
+    model = LicenceModel.fit(spark.createDataFrame([(i, f"{long} {i}") for i in range(4)] + [(None, "a text without an id"), (5, None)], "doc_id long, text string"), max_paragraphs=3)
+    assert model.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")).where("confirmed").count() == 1
+
+
 def test_licences_of_a_table(spark):
     notices = ("Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()

@@ -89,7 +89,7 @@ def families(seed, members):
     return list(enumerate((" ".join(x) for x in out), 1))
 
 
-@pytest.mark.parametrize("settings", [{}, {"pairs_per_posting": 0, "most_references": 2}, {"star_rounds": 0}, {"star_rounds": 6, "pairs_per_posting": 0, "wide": 40}])
+@pytest.mark.parametrize("settings", [{}, {"exact": True, "k": 4, "wide": 8}, {"pairs_per_posting": 0, "most_references": 2}, {"star_rounds": 0}, {"star_rounds": 6, "pairs_per_posting": 0, "wide": 40}])
 def test_near_duplicates_of_families_equal_all_pairs(spark, settings):
     docs = families(7, 50)
     want, sizes = classes(docs, 4)
@@ -383,7 +383,7 @@ def test_toxicity_held_out_accuracy_and_spans(spark):
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in held)
     assert right >= 0.98 * len(held)
     caught = [r for r in held if r.toxic and r.score >= 0.5]
-    assert len(caught) >= 0.87 * sum(r.toxic for r in held)
+    assert len(caught) >= 0.9 * sum(r.toxic for r in held)
     assert sum(r.score >= 0.5 for r in held if not r.toxic) <= 0.005 * len(held)
     for r in caught[:5]:
         for s in r.offending:
