@@ -5,11 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.storage import Work
+
+
+#: Keys that are counted at once.
+BLOCK = 1 << 19
+
 
 class Counters:
     """Misra-Gries counters: of n keys seen, each key's counter is below its count by n / (most + 1) at most, and keys without one have no more than that."""
@@ -18,8 +25,15 @@ class Counters:
         self.most, self.held = most, {}
 
     def add(self, keys: pa.Array) -> None:
-        for x in pc.value_counts(keys.drop_null()).to_pylist():
-            self.held[x["values"]] = self.held.get(x["values"], 0) + x["counts"]
+        found = pc.value_counts(keys.drop_null())
+        names, counts = found.field("values"), found.field("counts").to_numpy()
+        if len(counts) > self.most:
+            # Counters of the block itself, so that its rare keys never become objects.
+            counts = counts - np.partition(counts, -self.most - 1)[-self.most - 1]
+            on = np.flatnonzero(counts > 0)
+            names, counts = names.take(pa.array(on)), counts[on]
+        for k, c in zip(names.to_pylist(), counts.tolist(), strict=True):
+            self.held[k] = self.held.get(k, 0) + c
         if len(self.held) > self.most:
             cut = sorted(self.held.values(), reverse=True)[self.most]
             self.held = {k: c - cut for k, c in self.held.items() if c > cut}
@@ -34,19 +48,30 @@ def heavy_hitters(df: DataFrame, key: str, share: float) -> DataFrame:
     """
     if not 0 < share < 1:
         raise ValueError("a share lies between 0 and 1")
+    work = Work(df.sparkSession, "frequent")
     rows = df.select(F.col(key).alias("key"))
     most = math.ceil(2 / share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, kind = Counters(most), None
+        counters, kind, held, total = Counters(most), None, [], 0
+
+        def take():
+            counters.add(pa.chunked_array(held).combine_chunks())
+            held.clear()
+
         for batch in batches:
-            kind = batch.column(0).type
-            counters.add(batch.column(0))
-        if counters.held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counters.held), kind), pa.array(list(counters.held.values()), pa.int64())], ["key", "c"])
+            kind, total = batch.column(0).type, total + batch.num_rows
+            held.append(batch.column(0))
+            if sum(map(len, held)) >= BLOCK:
+                take()
+        if held:
+            take()
+        if total:  # a null key carries the number of rows
+            yield pa.RecordBatch.from_arrays([pa.array([None, *counters.held], kind), pa.array([total, *counters.held.values()], pa.int64())], ["key", "c"])
 
-    total = df.count()
     sums = rows.mapInArrow(count, f"key {rows.schema['key'].dataType.simpleString()}, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    candidates = sums.where(F.col("c") > total * share / 2 - 1).select("key")
+    sums = work.put(sums, "sums")
+    total = (sums.where("key is null").first() or {"c": 0})["c"]
+    candidates = sums.where((F.col("c") > total * share / 2 - 1) & F.col("key").isNotNull()).select("key")
     found = rows.join(F.broadcast(candidates), "key").groupBy("key").agg(F.count("*").alias("n"))
     return found.where(F.col("n") > total * share).withColumnRenamed("key", key)

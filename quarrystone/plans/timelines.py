@@ -12,6 +12,7 @@ from quarrystone.operators.patterns import HOUR, match_rows
 from quarrystone.operators.reach import hops
 from quarrystone.operators.sessions import sessionize
 from quarrystone.plans.registry import query, streamed
+from quarrystone.storage import Work
 from quarrystone.streaming.joins import interval_join
 from quarrystone.streaming.timers import sessions
 
@@ -23,7 +24,8 @@ def overlapping_orders(spark, t):
     """Pairs of a customer's orders that were open, from order to last shipment, at the same time; those whose last shipment is before the order were never open."""
     shipped = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
     o = t("orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("opened"), "closed")
-    o = o.withColumns({"s": micros(o, "opened"), "e": micros(o, "closed")})
+    # A table: the join looks at both sides several times.
+    o = Work(spark, "overlapping-orders").put(o.withColumns({"s": micros(o, "opened"), "e": micros(o, "closed")}), "orders")
     pairs = overlap_join(o, o, ["o_custkey"], ("s", "e"), ("s", "e"), suffix="_b").where("o_orderkey < o_orderkey_b")
     return pairs.select("o_custkey", F.col("o_orderkey").alias("first_order"), F.col("o_orderkey_b").alias("second_order"), F.greatest("opened", "opened_b").alias("since"), F.least("closed", "closed_b").alias("until"))
 
@@ -37,6 +39,7 @@ def sessions_around_signups(spark, t):
     e = t("events")
     e = e.withColumn("at", micros(e, "ts"))
     runs = sessionize(e.where("ts is not null").select("user_id", "ts", "at"), ["user_id"], "ts", "6 HOURS").groupBy("user_id", "session").agg(F.min("at").alias("s"), F.max("at").alias("e"))
+    runs = Work(spark, "sessions").put(runs, "runs")
     signups = e.where("event_type = 'signup'").select("event_id", "at", (F.col("at") + HOUR).alias("until"))
     pairs = overlap_join(signups, runs, [], ("at", "until"), ("s", "e"))
     # A user's sessions in one hour are few: counted once each before users are.
