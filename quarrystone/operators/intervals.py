@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarrystone.storage import Work
 
 #: Bits of the narrowest bin (of microseconds: about a second), bits between levels, and the widest level that 63 bits allow.
 GRAIN, STEP, TOP = 20, 2, 21
@@ -62,3 +65,34 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tu
     meet = (F.col("l.s") <= F.col("r.e")) & (F.col("r.s") <= F.col("l.e"))
     once = (F.col("l.k") == F.greatest("l.level", "r.level")) & (F.col("l.bin") == _bin(F.greatest("l.s", "r.s"), F.col("l.k")))
     return pairs.where(meet & once).select(*names)
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], weights: dict[str, Column]) -> DataFrame:
+    """`left` with the columns of `weights`: sums of whole numbers over the rows of `right` whose closed intervals have a point in common with the row's, 0 where there are none.
+
+    No pair is made, and work grows with the rows of both sides, whatever overlaps: what meets a span is what starts by its end, less what ends before its start. Both
+    are running sums over the distinct bounds of both sides; these are dealt to ranges of them, and what earlier ranges leave is a row a range, so no task holds them all.
+
+    Spans are as for `overlap_join`: null bounds and ends before their starts match nothing; repeated rows count once each.
+    """
+    work = Work(left.sparkSession, "overlap-sums")
+    (ls, le), (rs, re) = [[F.col(c).cast("long") for c in span] for span in (left_span, right_span)]
+    own, n = [F.coalesce(w.cast("long"), F.lit(0)) for w in weights.values()], range(len(weights))
+    opened, closed = [f"__o{i}" for i in n], [f"__c{i}" for i in n]
+    mark = lambda at, o, c: F.struct(at.alias("__at"), *[x.alias(k) for x, k in zip([*o, *c], [*opened, *closed], strict=True)])
+    none = [F.lit(0).cast("long") for _ in n]
+    marks = right.where(rs <= re).select(F.explode(F.array(mark(rs, own, none), mark(re, none, own))).alias("m"))
+    asked = left.where(ls <= le).select(F.explode(F.array(mark(ls, none, none), mark(le, none, none))).alias("m"))
+    marks = marks.union(asked).select("m.*").groupBy("__at").agg(*[F.sum(c).alias(c) for c in [*opened, *closed]])
+    # A table: the numbers of the ranges must stay as they are.
+    marks = work.put(marks.repartitionByRange("__at").withColumn("__part", F.spark_partition_id()), "marks")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.groupBy("__part").agg(*[F.sum(c).alias(c) for c in [*opened, *closed]])
+    before = before.select("__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}b") for c in [*opened, *closed]])
+    upto = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = marks.withColumns({f"{c}s": F.sum(c).over(upto) for c in [*opened, *closed]}).join(before, "__part")
+    sums = sums.select("__at", *[(F.col(f"{c}s") + F.col(f"{c}b")).alias(c) for c in opened], *[(F.col(f"{c}s") - F.col(c) + F.col(f"{c}b")).alias(c) for c in closed])
+    sums = work.put(sums, "sums")
+    rows = left.withColumns({"__ls": F.when(ls <= le, ls), "__le": F.when(ls <= le, le)})
+    rows = rows.join(sums.select(F.col("__at").alias("__le"), *opened), "__le", "left").join(sums.select(F.col("__at").alias("__ls"), *closed), "__ls", "left")
+    return rows.select(*left.columns, *[F.coalesce(F.col(o) - F.col(c), F.lit(0)).alias(name) for name, o, c in zip(weights, opened, closed, strict=True)])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrystone import streaming
 from quarrystone.functions import at_micros, micros, utc
-from quarrystone.operators.intervals import overlap_join
+from quarrystone.operators.intervals import overlap_join, overlap_sums
 from quarrystone.operators.patterns import HOUR, match_rows
 from quarrystone.operators.reach import hops
 from quarrystone.operators.sessions import sessionize
@@ -40,12 +41,19 @@ def sessions_around_signups(spark, t):
     e = e.withColumn("at", micros(e, "ts"))
     runs = sessionize(e.where("ts is not null").select("user_id", "ts", "at"), ["user_id"], "ts", "6 HOURS").groupBy("user_id", "session").agg(F.min("at").alias("s"), F.max("at").alias("e"))
     runs = Work(spark, "sessions").put(runs, "runs")
-    signups = e.where("event_type = 'signup'").select("event_id", "at", (F.col("at") + HOUR).alias("until"))
-    pairs = overlap_join(signups, runs, [], ("at", "until"), ("s", "e"))
-    # A user's sessions in one hour are few: counted once each before users are.
-    found = pairs.groupBy("event_id", "user_id").agg(F.count("*").alias("c")).groupBy("event_id").agg(F.sum("c").alias("sessions"), F.count("user_id").alias("users"))
-    every = signups.select("event_id").distinct().join(found, "event_id", "left")
-    return every.select("event_id", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("users", F.lit(0)).alias("users"))
+    signups = e.where("event_type = 'signup'").select("event_id", "ts", F.col("at").alias("s"), (F.col("at") + HOUR).alias("e"))
+    # What the hours after the signups of an event_id cover: mostly one signup's hour.
+    spans = sessionize(signups.where("ts is not null"), ["event_id"], "ts", "1 HOURS").groupBy("event_id", "session").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    spans = spans.withColumn("alone", (F.count("*").over(Window.partitionBy("event_id")) == 1) & (F.col("e") - F.col("s") <= 6 * HOUR))
+    spans = Work(spark, "signups").put(spans, "spans")
+    # A user's sessions are more than six hours apart, so no more than one meets a shorter span: users are counted as sessions are, without pairs.
+    asked = signups.select("event_id", "s", "e", F.lit("sessions").alias("of")).union(spans.where("alone").select("event_id", "s", "e", F.lit("users")))
+    known = F.col("user_id").isNotNull()
+    sums = overlap_sums(asked, runs, ("s", "e"), ("s", "e"), {"sessions": F.lit(1), "users": known})
+    sums = sums.select("event_id", *[F.when(F.col("of") == c, F.col(c)).otherwise(0).alias(c) for c in ("sessions", "users")])
+    pairs = overlap_join(spans.where("not alone").select("event_id", "s", "e"), runs.where(known), [], ("s", "e"), ("s", "e"))
+    users = pairs.select("event_id", "user_id").distinct().groupBy("event_id").agg(F.lit(0).cast("long").alias("sessions"), F.count("*").alias("users"))
+    return sums.union(users).groupBy("event_id").agg(F.sum("sessions").alias("sessions"), F.sum("users").alias("users"))
 
 
 @query("""WITH RECURSIVE e AS (

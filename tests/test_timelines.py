@@ -10,10 +10,10 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from quarrystone import streaming
-from quarrystone.operators.intervals import overlap_join
+from quarrystone.operators.intervals import overlap_join, overlap_sums
 from quarrystone.operators.patterns import match_rows
 from quarrystone.operators.reach import hops
-from quarrystone.plans import QUERIES
+from quarrystone.plans import ORACLE_SQL, QUERIES, timelines
 from quarrystone.streaming.joins import interval_join
 from quarrystone.streaming.timers import merged, sessions
 
@@ -61,6 +61,41 @@ def test_a_hot_bin_is_cut(spark):
     assert len(chunks) == 8 and max(r["count"] for r in chunks) < 4000 / 3
 
 
+def test_overlap_sums_equal_all_pairs(spark):
+    rng = random.Random(8)
+    span = lambda s: (s, s and s + rng.choice([0, 0, 1, rng.randint(0, 40), -1]))
+    left = [(i, *span(rng.choice([None, 0, rng.randint(-99, 99)]))) for i in range(150)] + [(7, 5, 5), (7, 5, 5), (8, 5, None), (9, -(1 << 61), 1 << 61)]
+    right = [(rng.choice([None, 1, 2, -3]), *span(rng.choice([None, 0, rng.randint(-99, 99)]))) for _ in range(120)] + [(2, 5, 5), (2, 5, 5), (4, 5, None)]
+    a, b = spark.createDataFrame(left, "id long, s long, e long").repartition(3), spark.createDataFrame(right, "w int, s long, e long").repartition(2)
+    met = lambda x: [y[0] for y in right if None not in (*x[1:], *y[1:]) and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and y[1] <= x[2]]
+    want = sorted(((*x, len(m), sum(w or 0 for w in m)) for x in left for m in [met(x)]), key=str)
+    weights = {"n": F.lit(1), "w": F.col("w")}
+    got = overlap_sums(a, b, ("s", "e"), ("s", "e"), weights)
+    assert got.columns == ["id", "s", "e", "n", "w"]
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert [tuple(r) for r in overlap_sums(a.where("e - s > 1000"), b.limit(0), ("s", "e"), ("s", "e"), weights).collect()] == [(9, -(1 << 61), 1 << 61, 0, 0)]
+    assert overlap_sums(a.limit(0), b, ("s", "e"), ("s", "e"), weights).collect() == []
+
+
+def test_signups_of_odd_events(spark, oracle, tmp_path, monkeypatch):
+    """Repeated, missing and far-apart signups of an event_id, users and times that are not known."""
+    rng = random.Random(4)
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=round(60 * h))
+    rows = [(1000 + i, at(rng.uniform(0, 200)), rng.choice([1, 2, 3, 4, None]), rng.choice(["view", "signup"])) for i in range(160)]
+    rows += [(i, at(rng.choice([0, 1, 2, 6, 7, 8, 60, 61])), rng.choice([1, 2, None]), "signup") for i in [1, 2, 3, 4, None, None] for _ in range(rng.choice([1, 2, 4]))] + [(5, None, 1, "signup"), (2, None, 2, "signup"), (6, at(3), 1, "signup"), (6, at(3), 1, "signup")]
+    rows += [(7, at(30 + h), None, "signup") for h in range(9)] + [(8, at(h), 9, "signup") for h in (400, 406, 412.5)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").repartition(3)
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    joined, join = [], timelines.overlap_join
+    monkeypatch.setattr(timelines, "overlap_join", lambda left, *a, **k: joined.extend(r.event_id for r in left.collect()) or join(left, *a, **k))
+    got = QUERIES["sessions_around_signups"](spark, str(tmp_path)).select("event_id", "sessions", "users").collect()
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql/events.parquet").symlink_to(next((tmp_path / "events.parquet").glob("part-*")))
+    assert sorted(map(tuple, got), key=str) == sorted(oracle(ORACLE_SQL["sessions_around_signups"], str(tmp_path / "sql"))[1], key=str)
+    # Pairs are made for what covers far-apart hours alone.
+    assert joined and not {x for x in joined if x and x >= 1000}
+
+
 def brute_matches(rows, steps, within, others_break):
     """Every start is tried; a match takes what each step must, in order."""
     found = []
