@@ -16,7 +16,7 @@ from quarrystone.functions.python import Balance, edit_distance, products_aggreg
 from quarrystone.operators import distinct
 from quarrystone.operators.frequent import Counters, heavy_hitters
 from quarrystone.operators.gaps import fill_gaps
-from quarrystone.plans import QUERIES
+from quarrystone.plans import ORACLE_SQL, QUERIES
 from quarrystone.plans.counts import bucketed
 
 
@@ -47,6 +47,27 @@ def test_sketches_merge_and_stay_near(spark):
     assert distinct.sketches(df.limit(0), {"g": F.col("g")}, "u").collect() == []
 
 
+def equals_sql(spark, oracle, path, name, table, df):
+    """Whether the query on `df` alone, as that table, gives what its SQL does; the query's rows."""
+    df.coalesce(1).write.parquet(str(path / f"{table}.parquet"))
+    (path / "sql").mkdir()
+    (path / f"sql/{table}.parquet").symlink_to(next((path / f"{table}.parquet").glob("part-*")))
+    names, want, columns = oracle(ORACLE_SQL[name], str(path / "sql"))
+    got = QUERIES[name](spark, str(path))
+    assert sorted(got.columns) == names
+    got = [tuple(r) for r in got.select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    return got
+
+
+def test_distinct_orders_of_large_flags(spark, oracle, tmp_path):
+    """More orders of a flag than a sketch holds, and flags of unknown orders only."""
+    many = spark.range(200_000).selectExpr("if(id % 2 = 0, 'A', null) as l_returnflag", "id as l_orderkey")
+    rows = many.union(many.limit(1000)).union(spark.sql("SELECT * FROM VALUES ('N', CAST(null AS long)), ('N', null), ('A', null), ('R', 7), ('R', 7)"))
+    got = equals_sql(spark, oracle, tmp_path, "approximate_distinct", "lineitem", rows)
+    assert {r[0]: r[1] for r in got} == {"A": 100_000, None: 100_000, "N": 0, "R": 1}
+
+
 def test_counters_keep_their_bound():
     rng = random.Random(6)
     keys = [rng.choice("abc") if rng.random() < 0.3 else f"k{rng.randint(0, 4000)}" for _ in range(20_000)]
