@@ -68,6 +68,15 @@ def test_distinct_orders_of_large_flags(spark, oracle, tmp_path):
     assert {r[0]: r[1] for r in got} == {"A": 100_000, None: 100_000, "N": 0, "R": 1}
 
 
+def test_a_sketch_is_held_against_the_orders(spark, oracle, tmp_path, monkeypatch):
+    rows = spark.range(90_000).selectExpr("if(id % 3 = 0, 'A', 'N') as l_returnflag", "id as l_orderkey")
+    got = equals_sql(spark, oracle, tmp_path, "approximate_distinct", "lineitem", rows)
+    assert sorted(got) == [("A", 30_000, True), ("N", 60_000, True)]
+    # An estimate that is off is told.
+    monkeypatch.setattr(F, "theta_sketch_estimate", lambda _: F.lit(31_000))
+    assert {r.l_returnflag: r.near for r in QUERIES["approximate_distinct"](spark, str(tmp_path)).collect()} == {"A": True, "N": False}
+
+
 def test_counters_keep_their_bound():
     rng = random.Random(6)
     keys = [rng.choice("abc") if rng.random() < 0.3 else f"k{rng.randint(0, 4000)}" for _ in range(20_000)]
