@@ -68,6 +68,15 @@ def test_distinct_orders_of_large_flags(spark, oracle, tmp_path):
     assert {r[0]: r[1] for r in got} == {"A": 100_000, None: 100_000, "N": 0, "R": 1}
 
 
+def test_returning_users_of_large_days(spark, oracle, tmp_path):
+    """More users than a sketch holds, on days that follow one another, lie within a week or apart, and unknown users and days."""
+    day = "element_at(array(0, 1, 2, 6, 7, 8, 15, 400), 1 + cast(pmod(xxhash64(id), 8) as int))"
+    many = spark.range(60_000).selectExpr("id as event_id", f"cast(timestampadd(MINUTE, cast(id % 1440 as int), date_add(DATE '2023-12-30', {day})) as timestamp_ntz) as ts", "id % 20000 as user_id")
+    odd = spark.sql("SELECT 1L, TIMESTAMP_NTZ '2024-06-01 00:00:00', CAST(null AS long) UNION ALL SELECT 2L, null, 5L UNION ALL SELECT 3L, TIMESTAMP_NTZ '1969-12-31 23:59:59', -1L UNION ALL SELECT 4L, TIMESTAMP_NTZ '1970-01-01 00:00:00', -1L")
+    got = equals_sql(spark, oracle, tmp_path, "returning_users", "events", many.union(odd))
+    assert len(got) == 10 and max(r[3] for r in got) > 16_000 and max(r[2] for r in got) > 100
+
+
 def test_a_sketch_is_held_against_the_orders(spark, oracle, tmp_path, monkeypatch):
     rows = spark.range(90_000).selectExpr("if(id % 3 = 0, 'A', 'N') as l_returnflag", "id as l_orderkey")
     got = equals_sql(spark, oracle, tmp_path, "approximate_distinct", "lineitem", rows)
